@@ -23,4 +23,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard_1", "shard_2")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_shards, op9_mix_sources)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_shards, op9_mix_sources, op10_near_dedup)}
