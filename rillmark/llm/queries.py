@@ -17,6 +17,14 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.decontam import judged, mark
+
+    marked = judged(mark(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")))
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillmark.llm.mixing import mix_plan
 
@@ -29,4 +37,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_shards, op9_mix_sources, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_byte_shards, op6_decontaminate, op9_mix_sources, op10_near_dedup)}
