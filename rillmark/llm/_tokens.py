@@ -67,7 +67,7 @@ def pieces(batch: pa.RecordBatch, columns: list[str], limit: int = 4 << 20) -> I
 
 
 class Words:
-    """The words of a batch: start and end in the bytes, document number, 64-bit hash, and where each document's words begin."""
+    """The words of a batch: start and end in the bytes, 64-bit hash, and where each document's words begin."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray):
         self.data = LOWER[raw]
@@ -80,7 +80,6 @@ class Words:
         before[0], before[1:] = False, inside[:-1]
         self.start = np.flatnonzero(inside & (~before | edge))
         self.end = np.flatnonzero(before & (~inside | edge))
-        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         self.first = np.searchsorted(self.start, offsets)
         self.hash = self._hashes()
 

@@ -63,21 +63,38 @@ class Phrases:
 
 
 def suffix_order(sequence: np.ndarray) -> np.ndarray:
-    """The suffix array by prefix doubling: each round sorts by (rank here, rank 2^k further on). The last symbol must be the only smallest."""
+    """The suffix array by prefix doubling. The last symbol must be the only smallest.
+
+    The first round sorts by as many symbols as fit into 62 bits. Each further round takes the suffixes that are still
+    tied, in their places, and sorts them by the rank of what follows the tied part, which doubles.
+    """
     rank = np.unique(sequence, return_inverse=True)[1].astype(np.int64)
-    n, step = len(rank), 1
-    while True:
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[:-step] = rank[step:] + 1
-        key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        new = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        step *= 2
+    n, bits = len(rank), max(int(rank.max(initial=0)).bit_length(), 1)
+    step = max(62 // bits, 1)
+    padded = np.concatenate([rank, np.zeros(step, np.int64)])
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(step):
+        key = (key << bits) | padded[k : n + k]
+    order = np.argsort(key)
+    rank, tied = _ranks(order, key[order], np.arange(n), np.empty(n, np.int64))
+    while len(tied):
+        at = order[tied]
+        ahead = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + ahead
+        by = np.argsort(key)
+        order[tied] = at[by]
+        rank, still = _ranks(order[tied], key[by], tied, rank)
+        tied, step = still, step * 2
+    return order
+
+
+def _ranks(suffixes: np.ndarray, keys: np.ndarray, places: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets the rank of each suffix to the first place of its equals; with the places that are still tied."""
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    group = np.cumsum(new) - 1
+    rank[suffixes] = places[new][group]
+    alone = new & np.concatenate([new[1:], [True]])
+    return rank, places[~alone]
 
 
 class WaveletTree:
