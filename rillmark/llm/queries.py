@@ -25,6 +25,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.embed_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillmark.llm.mixing import mix_plan
 
@@ -37,4 +43,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_shards, op6_decontaminate, op9_mix_sources, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_byte_shards, op6_decontaminate, op7_near_vectors, op9_mix_sources, op10_near_dedup)}
