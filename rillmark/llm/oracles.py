@@ -34,4 +34,23 @@ SELECT q.doc_id, q.size, q.source_size, q.target,
 FROM q LEFT JOIN b3 x ON x.no = q.no AND x.block = q.b_1 LEFT JOIN b3 y ON y.no = q.no AND y.block = q.b_2
 """
 
-ORACLES: dict[str, str] = {"op9_mix_sources": _OP9}
+def _base32(digest: str) -> str:
+    """Base 32 of a hex digest, 5 hex digits (20 bits) at a time."""
+    digits = []
+    for k in range(8):
+        number = f"('0x' || substr({digest}, {5 * k + 1}, 5))::BIGINT"
+        digits += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({number} >> {shift}) & 31)::INT + 1, 1)" for shift in (15, 10, 5, 0)]
+    return " || ".join(digits)
+
+
+_OP5 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, row_number() OVER () AS r FROM pages),
+h AS (SELECT page_id, r, payload, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM p),
+o AS (SELECT *, first_value(page_id) OVER w AS head, row_number() OVER w AS nth FROM h
+      WINDOW w AS (PARTITION BY payload ORDER BY page_id NULLS FIRST, r))
+SELECT page_id, payload_bytes, {_base32('hex')} AS payload_digest,
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN head END AS refers_to
+FROM o
+"""
+
+ORACLES: dict[str, str] = {"op5_warc_round_trip": _OP5, "op9_mix_sources": _OP9}

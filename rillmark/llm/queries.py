@@ -17,6 +17,13 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.warc import round_trip
+
+    rows = round_trip(_table(spark, sf_dir, "pages")).where("not gap")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillmark.llm.decontam import judged, mark
 
@@ -43,4 +50,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_shards, op6_decontaminate, op7_near_vectors, op9_mix_sources, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_byte_shards, op5_warc_round_trip, op6_decontaminate, op7_near_vectors, op9_mix_sources, op10_near_dedup)}
