@@ -38,6 +38,13 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.quality_mil import held_out, score_quality
+
+    scored = score_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillmark.llm.mixing import mix_plan
 
@@ -50,4 +57,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_shards, op5_warc_round_trip, op6_decontaminate, op7_near_vectors, op9_mix_sources, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_byte_shards, op5_warc_round_trip, op6_decontaminate, op7_near_vectors, op8_quality, op9_mix_sources, op10_near_dedup)}
