@@ -25,7 +25,9 @@ from rillmark.llm._tokens import SPACES, Words, buffers, pieces
 
 PASSAGE, BUCKETS = 128, 256
 MAX_DOCS, MAX_PASSAGES = 4096, 64
-HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 16, 40, 128, 3e-3, 1e-4, 5
+HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 16, 40, 128, 3e-3, 1e-3, 5
+#: Hashed words count this much beside the other features; with full weight a small sample is learned by heart.
+WORD_WEIGHT = 0.1
 THRESHOLD = 0.3
 
 #: Byte classes: 0-31 the ASCII punctuation marks in code order, then upper case, lower case, digit, space, line end, other control, first byte and later byte of non-ASCII.
@@ -92,7 +94,7 @@ class AttentionModel:
 
     def __init__(self, rng: np.random.Generator, mean: np.ndarray, scale: np.ndarray):
         draw = lambda *shape: rng.standard_normal(shape) / np.sqrt(shape[0])
-        self.mean, self.scale = mean, scale
+        self.mean, self.scale = mean, scale * np.where(np.arange(N_FEATURES) < N_FEATURES - BUCKETS, 1.0, WORD_WEIGHT)
         self.weights = {"W": draw(N_FEATURES, HIDDEN), "B": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "w": draw(GATE), "c": draw(HIDDEN), "b": np.zeros(1)}
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
