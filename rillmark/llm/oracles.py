@@ -53,4 +53,18 @@ SELECT page_id, payload_bytes, {_base32('hex')} AS payload_digest,
 FROM o
 """
 
-ORACLES: dict[str, str] = {"op5_warc_round_trip": _OP5, "op9_mix_sources": _OP9}
+_OP3 = r"""
+WITH t AS (SELECT conv_id, turn, role, text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+             '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS said,
+             coalesce('r' || strlen(role) || ':' || role, 'n') || coalesce('t' || strlen(text) || ':' || text, 'n') AS code
+           FROM conversations),
+w AS (SELECT conv_id, count(*) AS n_turns, string_agg(said, '' ORDER BY k) AS text, string_agg(code, '' ORDER BY k) AS code FROM t GROUP BY conv_id),
+f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY code, n_turns ORDER BY conv_id NULLS FIRST) = 1),
+p AS (SELECT t.k, string_agg(t.code, '') OVER (PARTITION BY t.conv_id ORDER BY t.k ROWS UNBOUNDED PRECEDING) AS code, w.n_turns
+      FROM t JOIN w ON t.conv_id IS NOT DISTINCT FROM w.conv_id)
+SELECT conv_id, n_turns, text FROM f
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = f.n_turns AND p.code = f.code AND p.k < p.n_turns)
+"""
+
+ORACLES: dict[str, str] = {"op3_chat_collapse": _OP3, "op5_warc_round_trip": _OP5, "op9_mix_sources": _OP9}

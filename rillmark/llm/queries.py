@@ -17,6 +17,12 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.chat import collapse
+
+    return collapse(_table(spark, sf_dir, "conversations"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillmark.llm.warc import round_trip
 
@@ -57,4 +63,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_shards, op5_warc_round_trip, op6_decontaminate, op7_near_vectors, op8_quality, op9_mix_sources, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_byte_shards, op3_chat_collapse, op5_warc_round_trip, op6_decontaminate, op7_near_vectors, op8_quality, op9_mix_sources, op10_near_dedup)}
