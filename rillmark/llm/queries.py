@@ -10,6 +10,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands in for a secret that a deployment hands over.
+PII_KEY = b"rillmark-demonstration-key"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.pii import pseudonymize
+
+    return pseudonymize(_table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_replaced", "replaced")
+
+
 def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillmark.llm.sharding import assign_shards
 
@@ -63,4 +73,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_shards, op3_chat_collapse, op5_warc_round_trip, op6_decontaminate, op7_near_vectors, op8_quality, op9_mix_sources, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_byte_shards, op3_chat_collapse, op5_warc_round_trip, op6_decontaminate, op7_near_vectors, op8_quality, op9_mix_sources, op10_near_dedup)}
