@@ -33,6 +33,12 @@ def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(_table(spark, sf_dir, "conversations"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillmark.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillmark.llm.warc import round_trip
 
@@ -73,4 +79,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_byte_shards, op3_chat_collapse, op5_warc_round_trip, op6_decontaminate, op7_near_vectors, op8_quality, op9_mix_sources, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_byte_shards, op3_chat_collapse, op4_main_text, op5_warc_round_trip, op6_decontaminate, op7_near_vectors, op8_quality, op9_mix_sources, op10_near_dedup)}
