@@ -103,7 +103,7 @@ def is_random_access(header: Column, codec: str) -> Column:
 
 def fmtp(text: Column) -> Column:
     """Parameters key=value, separated by semicolons, as a map with lower-case keys; null if one has no name or value or a name occurs twice."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
     names = F.transform(parts, lambda x: F.lower(F.trim(F.substring_index(x, "=", 1))))
     values = F.transform(parts, lambda x: F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))))
     good = F.forall(parts, lambda x: F.instr(x, "=") > 1) & F.forall(values, lambda x: x != "") & (F.size(F.array_distinct(names)) == F.size(names))

@@ -238,7 +238,7 @@ EPOCHS = [(k + 1, ORIGIN + k * WEEK, ORIGIN + (k + 1) * WEEK) for k in range(6)]
 
 
 @query(f"""WITH {{U}}, p(g, b, e) AS ({_values(EPOCHS)}), x AS (SELECT *, 1 + sequence % 5 AS generation FROM u)
-SELECT stream_id, sequence, generation, g AS epoch_generation, CASE WHEN generation < g THEN 'drop' WHEN generation > g THEN 'withhold' ELSE 'pass' END AS verdict
+SELECT stream_id, sequence, generation, g::BIGINT AS epoch_generation, CASE WHEN generation < g THEN 'drop' WHEN generation > g THEN 'withhold' ELSE 'pass' END AS verdict
 FROM x JOIN p ON pts >= b AND pts < e""")
 def epoch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     epochs = spark.createDataFrame(EPOCHS, "epoch_generation long, begins long, ends long")
