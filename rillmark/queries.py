@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.functions import wire
-from rillmark.operators import clocks, ledgers, routing, scheduling, stateful, timestamps
+from rillmark.operators import canonical, clocks, ledgers, routing, scheduling, stateful, timestamps
 from rillmark.plans import graph, planner
 from rillmark.schema import from_events
 from rillmark.session import table
@@ -347,6 +347,67 @@ def affine_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.affine_schedule(units(spark, sf_dir), ORIGIN, 77_000, 2_500).select("stream_id", "sequence", "on_master", "emit_at", "increasing")
 
 
+# --- canonical intervals ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH {U}, m AS (SELECT stream_id, sequence, CASE sequence % 3 WHEN 0 THEN 'samples' WHEN 1 THEN 'mapped' ELSE 'ticks' END AS mode, sequence % 1500 AS n FROM u),
+v AS (SELECT *, CASE mode WHEN 'samples' THEN (n * 1000000000 + 22050) // 44100 WHEN 'mapped' THEN n * 1000 ELSE (n * 1001 * 1000000000 + 15000) // 30000 END AS d FROM m)
+SELECT stream_id, sequence, CASE WHEN d > 0 THEN d END AS duration_ns, CASE WHEN d > 0 THEN NULL ELSE 'no_duration' END AS error FROM v""")
+def canonical_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("sequence") % 1500
+    modes = F.element_at(F.array(*[F.lit(x) for x in ("samples", "mapped", "ticks")]), (F.col("sequence") % 3 + 1).cast("int"))
+    rows = units(spark, sf_dir).select("stream_id", "sequence", modes.alias("mode"), n.alias("samples"), (n * 1000).alias("mapped_ns"), n.alias("ticks"), F.lit(1_001).alias("tb_num"), F.lit(30_000).alias("tb_den"))
+    return canonical.durations(rows, 44_100).select("stream_id", "sequence", "duration_ns", "error")
+
+
+@query("WITH {U} SELECT stream_id, sequence // 2000 AS generation, sequence, row_number() OVER (PARTITION BY stream_id, sequence // 2000 ORDER BY sequence) - 1 AS number FROM u")
+def canonical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.numbered(units(spark, sf_dir).withColumn("generation", F.expr("sequence div 2000"))).select("stream_id", "generation", "sequence", "number")
+
+
+@query(f"""WITH {{U}}, e AS (SELECT stream_id, min(pts) + {DAY} AS b FROM u GROUP BY stream_id)
+SELECT u.stream_id, u.sequence, u.pts - e.b + 5000 AS on_master FROM u JOIN e ON e.stream_id = u.stream_id WHERE u.pts >= e.b AND u.stream_id % 3 <> 0""")
+def epoch_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = units(spark, sf_dir).withColumn("generation", F.lit(1))
+    epochs = rows.where("stream_id % 3 <> 0").groupBy("stream_id", "generation").agg((F.min("pts") + DAY).alias("source_start")).withColumn("master_release", F.lit(5_000))
+    return canonical.bind_epoch(rows, epochs).select("stream_id", "sequence", "on_master")
+
+
+@query(f"""WITH {{U}} SELECT stream_id, pts // {DAY} AS stretch, row_number() OVER (PARTITION BY stream_id, pts // {DAY} ORDER BY pts, sequence) - 1 AS place, pts, sequence, key_frame FROM u""")
+def release_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.unnested(canonical.release(units(spark, sf_dir), DAY)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("""WITH {U}, i AS (SELECT stream_id, sequence, bytes AS b, bytes + sequence % 7 AS e FROM u), l AS (SELECT *, lag(e) OVER (PARTITION BY stream_id ORDER BY sequence) AS expected FROM i)
+SELECT stream_id, sequence, b AS begin, expected FROM l WHERE expected <> b""")
+def interval_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = units(spark, sf_dir).select("stream_id", "sequence", F.col("bytes").alias("begin"), (F.col("bytes") + F.col("sequence") % 7).alias("end"))
+    return canonical.interval_breaks(rows)
+
+
+@query("""WITH {U}, s AS (SELECT stream_id, sequence, (sequence // 300) % 7 AS generation, ['locked', 'degraded', 'acquiring', 'expired'][(sequence % 4 + 1)::INT] AS state FROM u)
+SELECT stream_id, sequence, generation, CASE WHEN state IN ('locked', 'degraded') THEN 'ready' WHEN state = 'acquiring' THEN 'waiting' ELSE 'reacquire' END AS readiness,
+       coalesce(generation < max(generation) OVER (PARTITION BY stream_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS goes_back FROM s""")
+def clock_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = F.element_at(F.array(*[F.lit(x) for x in ("locked", "degraded", "acquiring", "expired")]), (F.col("sequence") % 4 + 1).cast("int"))
+    return canonical.clock_states(units(spark, sf_dir).select("stream_id", "sequence", F.expr("(sequence div 300) % 7").alias("generation"), states.alias("state")))
+
+
+@query(f"""WITH {{U}}, a AS (SELECT sequence, pts, (pts - {ORIGIN}) * 9 // 100 + (sequence * 7919) % 900001 - 450000 AS t, (pts - {ORIGIN}) * 9 // 100 AS anchor FROM u),
+d AS (SELECT *, ((t - anchor) % 8589934592 + 8589934592) % 8589934592 AS ahead FROM a), e AS (SELECT *, CASE WHEN 2 * ahead < 8589934592 THEN ahead ELSE ahead - 8589934592 END AS x FROM d)
+SELECT sequence, (pts + sign(x) * ((abs(x) * 1000000 + 45000) // 90000))::BIGINT AS source_us FROM e""")
+def source_clock_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchor = F.expr(f"((pts - {ORIGIN}) * 9) div 100")
+    rows = units(spark, sf_dir).select("sequence", F.pmod(anchor + (F.col("sequence") * 7919) % 900_001 - 450_000, F.lit(1 << 33)).alias("counter"), anchor.alias("anchor_ticks"), F.col("pts").alias("anchor_us"))
+    return canonical.nearest_epoch(rows, 1 << 33, 90_000).select("sequence", "source_us")
+
+
+@query("""WITH {U} SELECT sequence, CASE WHEN sequence % 5 = 0 THEN 'drop_late_frames' WHEN sequence % 4 < 2 THEN 'reduce' WHEN sequence % 4 > 2 THEN 'increase' ELSE 'keep' END AS action FROM u""")
+def qos_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = units(spark, sf_dir).select("sequence", F.when(F.col("sequence") % 5 == 0, "high").otherwise("healthy").alias("pressure"), F.lit(2).cast("long").alias("before"), (F.col("sequence") % 4).alias("after"))
+    return canonical.qos_action(rows).select("sequence", "action")
+
+
 # --- ledgers ------------------------------------------------------------------------------------------------------------
 
 
