@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """As cut(), read back in as many partitions as its rows need: what follows a small result runs few tasks and writes few shuffle files."""
+    kept = cut(df)
+    return kept.coalesce(max(1, -(-kept.count() // rows)))
+
+
+def apart(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but the used ones under names that can't clash, and the way back to df's own columns."""
+    own = {c: c if c in used else f"_own{i}" for i, c in enumerate(df.columns)}
+    there = df.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()])
+    return there, lambda out: out.select(*[F.col(x).alias(c) for c, x in own.items()])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """As cut(), as a Parquet table: compressed, and read by column."""
     spark = df.sparkSession
@@ -57,6 +71,10 @@ def with_prefix(df: DataFrame, order: list[str], value: str) -> DataFrame:
     return rows.withColumn("before", before).withColumn("rank", F.col("_first") + F.col("_nth") - 1).drop("_part", "_upto", "_nth", "_base", "_first")
 
 
+#: Edges for a partition of the rounds of components().
+EDGES = 100_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
@@ -72,12 +90,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = cut(e)
     seen = _state(e)
     while seen[0]:
+        parts = -(-seen[0] // EDGES)  # a round's edges are no more than the last one's and a few
+        e = e.coalesce(parts)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("v"), "m").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        e = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        e = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(parts))
         now = _state(e)
         if now == seen:
             break

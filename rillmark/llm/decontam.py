@@ -13,8 +13,8 @@ the spans, with the same result.
 
 Defined cases: null texts and texts without words have no words, no hits and are clean; equal items count each with its own
 item_id; items without words are no phrases; a null item_id is written as an empty string; repeated rows are each returned;
-an empty benchmark leaves all documents clean. Other columns of the documents pass through; their names may not be
-_spans or _items.
+an empty benchmark leaves all documents clean. Other columns of the documents pass through decontaminate() and
+removed_spans() whatever they are called; mark() adds n_words, spans and items in place of columns of that name.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillmark.llm._shared import apart
 from rillmark.llm._tokens import NOT_ALNUM, Words, buffers, pieces
 
 WINDOW = 13
@@ -263,7 +264,8 @@ def judged(marked: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; the others as they are."""
-    return judged(mark(docs, benchmark)).where("not contaminated").select(*docs.columns)
+    inner, back = apart(docs, "text")
+    return back(judged(mark(inner, benchmark)).where("not contaminated"))
 
 
 def removed_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -279,8 +281,9 @@ def removed_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ends = [(int(words.start[base + a] - offsets[d]), int(words.end[base + b - 1] - offsets[d])) for a, b in spans]
                     kept = [0, *[x for pair in ends for x in pair], len(data)]
                     texts[d] = b"".join(data[kept[k] : kept[k + 1]] for k in range(0, len(kept), 2)).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in docs_names], names=docs_names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
-    docs_names = docs.columns
-    return mark(docs, benchmark).mapInArrow(cut_out, docs.schema)
+    inner, back = apart(docs, "text")
+    names = inner.columns
+    return back(mark(inner, benchmark).mapInArrow(cut_out, inner.schema))
 

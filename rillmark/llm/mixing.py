@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.llm._shared import cut, with_prefix
+from rillmark.llm._shared import apart, cut, with_prefix
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,17 +100,18 @@ def mix_documents(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...]
     """docs with every row as often as the mix takes it (0, 1 or 2 times), shuffled by hash inside the partitions.
 
     A source's mix is a range of its hash order, so the last key taken, one for each source and time, decides for a row:
-    the texts are joined to as many rows as there are sources and are not shuffled. Rows that agree in doc_id and size
+    the texts are joined to as many rows as there are sources. Rows that agree in doc_id and size
     count as one.
     """
     key = ["_hash", "doc_id", "size"]
-    plan = mix_plan(docs, share=share, weights=weights, seed=seed).withColumn("_hash", _key(seed, "doc_id"))
+    inner, back = apart(docs, "doc_id", "text", "source")
+    plan = mix_plan(inner, share=share, weights=weights, seed=seed).withColumn("_hash", _key(seed, "doc_id"))
     ends = plan.groupBy("source").agg(
         *[F.max(F.when(F.col(f"shard_{k}").isNotNull(), F.struct(*key))).alias(f"_end_{k}") for k in (1, 2)],
     ).withColumnRenamed("source", "_source")
-    rows = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    rows = inner.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     own = F.struct(_key(seed, "doc_id").alias("_hash"), F.col("doc_id"), F.col("_size").alias("size"))
     rows = rows.join(cut(ends), F.col("source").eqNullSafe(F.col("_source")))
     times = sum((F.coalesce(own <= F.col(f"_end_{k}"), F.lit(False)) & (F.col("_size") > 0)).cast("int") for k in (1, 2))
     rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
-    return rows.select(*docs.columns)
+    return back(rows)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillmark.llm._shared import apart
 from rillmark.llm._tokens import SPACES, Words, buffers, pieces
 
 PASSAGE, BUCKETS = 128, 256
@@ -194,4 +195,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that are predicted to be of low quality."""
-    return score_quality(docs, labels).where("predicted = 1").select(*docs.columns)
+    inner, back = apart(docs, "doc_id", "text")
+    return back(score_quality(inner, labels).where("predicted = 1"))
