@@ -53,7 +53,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, columns: list[str], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, columns: list[str], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive pieces of about limit bytes of text, so that the arrays made from a piece stay small; a longer text is a piece of its own."""
     sizes = np.zeros(batch.num_rows, dtype=np.int64)
     for name in columns:

@@ -4,10 +4,14 @@ A text's set is its distinct 5-word shingles (of fewer words, but not none, the
 first become one class, named by the smallest doc_id. Each class gets 128 minima under random functions a*x+b modulo 2^64,
 in 32 bands of 4; two sets of similarity 0.75 share no band with probability 5e-6.
 
-Classes that share a band are not paired with each other. Each is paired with the bucket's smallest member, these pairs are
-checked and joined to components; then only members of a bucket that are still in different components are paired. So a
-bucket of copies of one text costs a pair for each copy, and no link between different components is left out. A pair is
-first estimated on the signatures (cut at 0.55, five standard deviations below 0.75) and then counted on the full sets.
+Classes that share a band are not all paired with each other. The buckets are dealt by ranges and sorted, each in an order
+of its own, and every member is paired with the three before it. These pairs are estimated on the signatures (cut at 0.58, over
+four standard deviations below 0.75); what hangs together by them is a family. Each member's likeliest partner is counted on
+the full sets; that joins most of a family. The members outside a family's largest part are then held against all the others,
+in tiles of TILE by TILE texts: a tile counts full sets where the estimate allows it and the two aren't joined yet, and returns
+a spanning forest of its links, never the pairs. Last, bucket mates of different families are
+estimated, in tiles too, and what passes is counted. So no link between components is left out, and a large group of copies
+or of texts with a passage in common costs a row for each text and tile.
 
 Defined cases: null texts and texts without words have no shingles and are linked with nothing; rows with the same doc_id
 are one node, each row is returned; a null doc_id is linked with nothing and kept; other columns are not read.
@@ -18,15 +22,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm._shared import components, cut, written
+from rillmark.llm._shared import apart, compact, components, shuffle_partitions, written
 from rillmark.llm._tokens import SPACES, Words, buffers, pieces, shingles
 
 ROWS, BANDS = 4, 32
-ESTIMATE = 0.55
+NEAR, TILE = 3, 128
+ESTIMATE = 0.58
 SEED = 20240229
 
 
@@ -83,38 +89,183 @@ def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in ESTIMATE of their places or more."""
+    """The pairs (a, b) whose signatures agree in ESTIMATE of their places or more, with that share."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1) for c in ("left", "right"))
-                yield batch.filter(pa.array((left == right).mean(axis=1) >= ESTIMATE)).select(["a", "b"])
+                share = (left == right).mean(axis=1)
+                rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "share"])
+                yield rows.filter(pa.array(share >= ESTIMATE))
 
     joined = pairs.join(signatures.select(F.col("node").alias("a"), F.col("signature").alias("left")), "a")
     joined = joined.join(signatures.select(F.col("node").alias("b"), F.col("signature").alias("right")), "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(agree, "a long, b long")
+    return joined.select("a", "b", "left", "right").mapInArrow(agree, "a long, b long, share double")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def _bucket_mates(percent: int):
+    """For rows sorted by bucket: those that may share theirs with another row, each with the nodes of up to NEAR rows before it that are not too different in size."""
+
+    def mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            fresh = 0 if held is None else held.num_rows
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            band, key, node, size = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "node", "size"))
+            found, with_mate = np.zeros((len(node), NEAR), dtype=bool), np.zeros(len(node), dtype=bool)
+            for step in range(1, min(NEAR, len(node) - 1) + 1):
+                same = (band[step:] == band[:-step]) & (key[step:] == key[:-step])
+                low, high = np.minimum(size[step:], size[:-step]), np.maximum(size[step:], size[:-step])
+                found[step:, step - 1] = same & (100 * low >= percent * high) & (node[step:] != node[:-step])
+                with_mate[step:] |= same
+                with_mate[:-step] |= same
+            # Whether the rows at the ends of a batch have a mate outside it isn't known here.
+            with_mate[fresh], with_mate[-1] = True, True
+            back = np.arange(len(node))[:, None] - np.arange(1, NEAR + 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(found.sum(axis=1))]), pa.int32()), pa.array(node[back[found]]))
+            out = pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("band", "key", "node", "size")], lists], names=["band", "key", "node", "size", "mates"])
+            yield out.slice(fresh).filter(pa.array(with_mate[fresh:]))
+            held = rows.slice(max(rows.num_rows - NEAR, 0))
+
+    return mates
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame, signatures: DataFrame) -> DataFrame:
+    """node, text and signature of the nodes. Rows that share a doc_id are one node, and the one that the class was named by stands for it."""
+    texts = docs.select(F.col("doc_id").alias("node"), "text").where("text is not null").join(nodes, "node", "left_semi")
+    return texts.groupBy("node").agg(F.min("text").alias("text")).join(signatures, "node")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, ["left", "right"]):
-                keep = []
-                for x, y in zip(_sets(part.column("left"), n), _sets(part.column("right"), n), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield part.filter(pa.array(keep)).select(["a", "b"])
+                keep = [_linked(x, y, percent) for x, y in zip(_sets(part.column("left"), n), _sets(part.column("right"), n), strict=True)]
+                yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    joined = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    return joined.select("a", "b", "left", "right").mapInArrow(count, "a long, b long")
+
+
+def _tile(n: int, percent: int):
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        few, many = pdf[pdf["stray"]].reset_index(drop=True), pdf[~pdf["stray"]].reset_index(drop=True)
+        if few.empty or many.empty:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        left, right = (np.frombuffer(b"".join(x["signature"]), dtype=np.uint32).reshape(len(x), -1) for x in (few, many))
+        share = np.stack([(row == right).mean(axis=1) for row in left])
+        share[few["part"].to_numpy()[:, None] == many["part"].to_numpy()[None, :]] = 0
+        rows, columns = np.nonzero(share >= ESTIMATE)
+        order = np.argsort(-share[rows, columns], kind="stable")
+        own: dict[tuple[int, int], np.ndarray] = {}
+
+        def set_of(side: int, i: int) -> np.ndarray:
+            if (side, i) not in own:
+                own[side, i] = next(_sets(pa.array([(few, many)[side]["text"].iloc[i]], pa.string()), n))
+            return own[side, i]
+
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        links = []
+        for i, j in zip(rows[order].tolist(), columns[order].tolist(), strict=True):
+            a, b = root(int(few["part"].iloc[i])), root(int(many["part"].iloc[j]))
+            if a != b and _linked(set_of(0, i), set_of(1, j), percent):
+                parent[max(a, b)] = min(a, b)
+                links.append((int(few["node"].iloc[i]), int(many["node"].iloc[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return link
+
+
+def _family_links(families: DataFrame, parts: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between the parts of each family: the members outside its largest part against all members, in tiles."""
+    rows = _in_parts(families.select("node", F.col("component").alias("family")), parts, "node").withColumnRenamed("node_part", "part")
+    sizes = rows.groupBy("family", "part").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("family").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("members"), F.count("*").alias("parts"), F.max("size").alias("largest")).where("parts > 1")
+    blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / TILE)).cast("int")
+    most = most.select("family", "main", blocks(F.col("members")).alias("all_blocks"), blocks(F.col("members") - F.col("largest")).alias("stray_blocks"))
+    rows = rows.join(most, "family").join(texts, "node")
+    hashed = F.xxhash64("node")
+    every = rows.withColumn("stray", F.lit(False)).withColumn("column", F.pmod(hashed, "all_blocks").cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)))
+    strays = rows.where("part <> main").withColumn("stray", F.lit(True)).withColumn("row", F.pmod(hashed, "stray_blocks").cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)))
+    names = ["family", "row", "column", "stray", "node", "part", "signature", "text"]
+    return every.select(*names).unionByName(strays.select(*names)).groupBy("family", "row", "column").applyInPandas(_tile(n, percent), "a long, b long")
+
+
+def _in_parts(rows: DataFrame, parts: DataFrame, column: str) -> DataFrame:
+    """rows with column_part: the component of that node, or the node itself."""
+    own = parts.select(F.col("node").alias(column), F.col("component").alias(f"{column}_part"))
+    return rows.join(own, column, "left").withColumn(f"{column}_part", F.coalesce(f"{column}_part", column))
+
+
+def _alike_in_tiles(percent: int):
+    """For rows sorted by tile: the pairs in a tile that differ in family and part, are near enough in size and estimated alike."""
+    tile = ["band", "key", "row", "column"]
+
+    def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
+        values = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in (*tile, "block", "node", "size", "part", "family")}
+        signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint32).reshape(rows.num_rows, -1)
+        fresh = np.concatenate([[True], np.any([values[c][1:] != values[c][:-1] for c in tile], axis=0)])
+        starts = np.flatnonzero(fresh)
+        ends = np.repeat(np.append(starts[1:], len(fresh)), np.diff(np.append(starts, len(fresh))))
+        a, b = [], []
+        for step in range(1, int((ends - np.arange(len(ends))).max())):
+            i = np.flatnonzero(np.arange(len(ends)) + step < ends)
+            j = i + step
+            own = values["row"][i] == values["column"][i]
+            keep = (own | (values["block"][i] != values["block"][j])) & (values["family"][i] != values["family"][j]) & (values["part"][i] != values["part"][j])
+            keep &= 100 * np.minimum(values["size"][i], values["size"][j]) >= percent * np.maximum(values["size"][i], values["size"][j])
+            i, j = i[keep], j[keep]
+            near = (signatures[i] == signatures[j]).mean(axis=1) >= ESTIMATE
+            a.append(np.minimum(values["node"][i[near]], values["node"][j[near]]))
+            b.append(np.maximum(values["node"][i[near]], values["node"][j[near]]))
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (a, b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            last = np.ones(rows.num_rows, dtype=bool)
+            for c in tile:
+                value = rows.column(c).to_numpy(zero_copy_only=False)
+                last &= value == value[-1]
+            whole = int(np.argmax(last))  # the last tile may go on in the next batch
+            if whole:
+                yield compare(rows.slice(0, whole))
+            held = rows.slice(whole)
+        if held is not None:
+            yield compare(held)
+
+    return run
+
 
-    texts = docs.select("doc_id", "text")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Rows that share a doc_id are one node; any of their sets may carry the link.
-    texts = texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-    joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(count, "a long, b long").distinct()
+def _mixed_buckets(marked: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of bucket mates in different families and parts that are estimated alike. Large buckets are cut into tiles; a tile returns what passes the estimate, not its pairs."""
+    mixed = marked.groupBy("band", "key").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.count("*").alias("members")).where("low <> high")
+    mixed = mixed.select("band", "key", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
+    rows = compact(marked.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
+    rows = rows.join(signatures, "node").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = ["band", "key", "row", "column"]
+    rows = rows.withColumn("row", F.least("block", "_other")).withColumn("column", F.greatest("block", "_other")).select(*tile, "block", "node", "size", "part", "family", "signature")
+    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_alike_in_tiles(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -123,29 +274,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     full = rows.where("set_key is not null and doc_id is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     member = full.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "node").where("doc_id <> node").distinct()
-    heads = full.join(classes, "set_key").where("doc_id = node")
+    # On both columns, so that a large class does not meet in one task.
+    heads = full.join(classes.withColumn("doc_id", F.col("node")), ["doc_id", "set_key"])
     signatures = heads.select("node", "signature").dropDuplicates(["node"])
-    banded = heads.select("node", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "key")).distinct()
-    buckets = banded.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    shared = written(banded.join(buckets, ["band", "key"]).select("band", "key", "node", "size", F.col("head.node").alias("head"), F.col("head.size").alias("head_size")), "buckets")
-    alike = F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * percent
-    stars = shared.where("node <> head").withColumnRenamed("head_size", "other_size").where(alike)
-    pairs = cut(_estimated(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), signatures))
-    # First one partner for each class: most components need no more.
-    first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = cut(_confirmed(first, docs, n, percent))
-    part = cut(components(links))
-    named = lambda x, c: x.join(part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
-    more = named(named(pairs.join(first, ["a", "b"], "left_anti"), "a"), "b").where("a_part <> b_part").select("a", "b")
-    # Then bucket mates in different components.
-    marked = named(shared.select("band", "key", "node", "size"), "node")
-    mixed = marked.groupBy("band", "key").agg(F.min("node_part").alias("low"), F.max("node_part").alias("high")).where("low <> high").select("band", "key")
-    marked = marked.join(mixed, ["band", "key"])
-    other = marked.select("band", "key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("node_part").alias("other_part"))
-    mates = marked.join(other, ["band", "key"]).where((F.col("node") < F.col("other")) & (F.col("node_part") != F.col("other_part")) & alike)
-    mates = mates.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = cut(more.unionByName(_estimated(mates, signatures)).distinct())
-    links = links.unionByName(_confirmed(rest, docs, n, percent)).unionByName(member.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
+    banded = heads.select("node", F.col("n_shingles").cast("long").alias("size"), F.posexplode("bands").alias("band", "key"))
+    order = ["band", "key", "_tie"]
+    dealt = banded.withColumn("_tie", F.xxhash64("band", "node")).repartitionByRange(2 * shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    shared = written(dealt.select("band", "key", "node", "size").mapInArrow(_bucket_mates(percent), "band int, key long, node long, size long, mates array<long>"), "buckets")
+    near = shared.select("node", F.explode("mates").alias("mate"))
+    pairs = compact(_estimated(near.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct(), signatures))
+    families = compact(components(pairs))
+    texts = written(_texts_of(docs, families, signatures), "family-texts")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
+    best = both.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+    links = compact(_confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, n, percent))
+    links = compact(links.unionByName(_family_links(families, compact(components(links)), texts, n, percent)))
+    # Bucket mates in different families that no link joins.
+    parts = compact(components(links))
+    marked = _in_parts(shared.select("band", "key", "node", "size"), parts, "node").withColumnRenamed("node_part", "part")
+    marked = _in_parts(marked, families, "node").withColumnRenamed("node_part", "family")
+    more = compact(_mixed_buckets(marked, signatures, percent).distinct())
+    ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = links.unionByName(_confirmed(more, _texts_of(docs, ends, signatures), n, percent))
+    links = links.unionByName(member.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
     named_rows = components(links)
     out = rows.select("doc_id", "n_shingles").join(named_rows.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -154,5 +305,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = near_duplicates(docs, n, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    inner, back = apart(docs, "doc_id", "text")
+    found = written(near_duplicates(inner.select("doc_id", "text"), n, percent), "near-duplicates")
+    kept = inner.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # Repeated rows of a kept document: one stays.
+        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return back(kept)
