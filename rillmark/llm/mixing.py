@@ -24,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks that the mix is cut into, besides one begun block for each source.
 BLOCKS = 4096
+#: Sources (a short row each) up to which their last keys are broadcast; more are joined by source.
+BROADCAST_SOURCES = 100_000
 
 
 def _key(seed: str, *parts: Column | str) -> Column:
@@ -111,7 +113,8 @@ def mix_documents(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...]
     ).withColumnRenamed("source", "_source")
     rows = inner.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     own = F.struct(_key(seed, "doc_id").alias("_hash"), F.col("doc_id"), F.col("_size").alias("size"))
-    rows = rows.join(cut(ends), F.col("source").eqNullSafe(F.col("_source")))
+    ends = cut(ends)
+    rows = rows.join(F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends, F.col("source").eqNullSafe(F.col("_source")))
     times = sum((F.coalesce(own <= F.col(f"_end_{k}"), F.lit(False)) & (F.col("_size") > 0)).cast("int") for k in (1, 2))
     rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
     return back(rows)
