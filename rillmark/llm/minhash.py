@@ -31,7 +31,7 @@ from rillmark.llm._shared import apart, compact, components, shuffle_partitions,
 from rillmark.llm._tokens import SPACES, Words, buffers, pieces, shingles
 
 ROWS, BANDS = 4, 32
-NEAR, TILE = 3, 128
+NEAR, TILE, BUCKET_TILE = 3, 128, 1024
 ESTIMATE = 0.58
 SEED = 20240229
 
@@ -60,7 +60,7 @@ def _minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets), signature (128 4-byte values) and bands (32 longs) of each row; the last three are null for empty sets."""
+    """doc_id, n_shingles, set_key (equal for equal sets), signature (the 16 highest bits of each of the 128 minima) and bands (32 longs) of each row; the last three are null for empty sets."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _functions()
@@ -73,7 +73,7 @@ def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
                     continue
                 least = _minima(values, a, b)
                 keys.append(np.array([len(values), values.sum(), np.bitwise_xor.reduce(values * np.uint64(0x9E3779B97F4A7C15)), least[0]], dtype=np.uint64).tobytes())
-                signatures.append((least >> np.uint64(32)).astype(np.uint32).tobytes())
+                signatures.append((least >> np.uint64(48)).astype(np.uint16).tobytes())
                 rows = least.reshape(BANDS, ROWS)
                 key = np.arange(BANDS, dtype=np.uint64)
                 for r in range(ROWS):
@@ -94,7 +94,7 @@ def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1) for c in ("left", "right"))
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in ("left", "right"))
                 share = (left == right).mean(axis=1)
                 rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "share"])
                 yield rows.filter(pa.array(share >= ESTIMATE))
@@ -161,7 +161,7 @@ def _tile(n: int, percent: int):
         few, many = pdf[pdf["stray"]].reset_index(drop=True), pdf[~pdf["stray"]].reset_index(drop=True)
         if few.empty or many.empty:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        left, right = (np.frombuffer(b"".join(x["signature"]), dtype=np.uint32).reshape(len(x), -1) for x in (few, many))
+        left, right = (np.frombuffer(b"".join(x["signature"]), dtype=np.uint16).reshape(len(x), -1) for x in (few, many))
         share = np.stack([(row == right).mean(axis=1) for row in left])
         share[few["part"].to_numpy()[:, None] == many["part"].to_numpy()[None, :]] = 0
         rows, columns = np.nonzero(share >= ESTIMATE)
@@ -219,7 +219,7 @@ def _alike_in_tiles(percent: int):
 
     def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
         values = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in (*tile, "block", "node", "size", "part", "family")}
-        signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint32).reshape(rows.num_rows, -1)
+        signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint16).reshape(rows.num_rows, -1)
         fresh = np.concatenate([[True], np.any([values[c][1:] != values[c][:-1] for c in tile], axis=0)])
         starts = np.flatnonzero(fresh)
         ends = np.repeat(np.append(starts[1:], len(fresh)), np.diff(np.append(starts, len(fresh))))
@@ -258,9 +258,9 @@ def _alike_in_tiles(percent: int):
 
 
 def _mixed_buckets(marked: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of bucket mates in different families and parts that are estimated alike. Large buckets are cut into tiles; a tile returns what passes the estimate, not its pairs."""
+    """Pairs (a, b) of bucket mates in different families and parts that are estimated alike. Buckets of more than BUCKET_TILE rows are cut into tiles (signatures are short, so these may be larger than tiles of texts); a tile returns what passes the estimate, not its pairs."""
     mixed = marked.groupBy("band", "key").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.count("*").alias("members")).where("low <> high")
-    mixed = mixed.select("band", "key", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
+    mixed = mixed.select("band", "key", F.ceil(F.col("members") / BUCKET_TILE).cast("int").alias("blocks"))
     rows = compact(marked.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
     rows = rows.join(signatures, "node").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile = ["band", "key", "row", "column"]
