@@ -1,16 +1,20 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by sorted projection passes and an exact comparison of what they leave apart.
 
-A pass draws 64 random hyperplanes; the signs of a vector are its 64-bit key. The rows of all passes are dealt by ranges of
+Equal vectors of a label are linked to their first one, which alone goes on. A pass draws 64 random hyperplanes; the signs of a vector are its 64-bit key. The rows of all passes are dealt by ranges of
 (pass, label, key) and sorted, and each vector is compared with its WINDOW next neighbours: two vectors at cosine 0.98 agree
 on a sign with probability 0.936, so they share the leading bits, and stand close, in some of PASSES orders. Of the verified
 pairs of a partition only a spanning forest is kept (at most an edge a row), the passes' forests are united, and components
-follow by large-star and small-star.
+follow by large-star and small-star. Equal keys are ordered by a hash that differs from pass to pass, so a partition's border
+cuts other neighbours in each.
 
-A group of copies is wider than a window, but its members stand in line and are joined all the same. The links inside a
-component are then counted exactly: its members are dealt into blocks of about TILE, and each pair of blocks is one task's
-matrix product that returns a count for each vector, never the pairs. Only pairs of separate components that no pass brought
-within a window are missed. Equal keys are ordered by a hash that differs from pass to pass, so a partition's border cuts
-other neighbours in each.
+The passes miss pairs, the more the larger and denser a label is; what they found only spares the next step edges. Of each
+label one vector of CELL is a pivot, and a vector lives in the cell of its nearest pivot. If u lives at p and v at q, then
+v (p - q) <= 0, so u (p - q) <= |u - v| |p - q|: u visits those cells q where this allows a cosine that links. (Of two cells
+one visits the other.) A cell's task holds who lives there, streams the visitors past, and keeps a spanning forest of the
+pairs whose components differ. No pair is left out; a label without structure costs as many products as it has pairs.
+
+The links inside a component are then counted exactly: its members are dealt into blocks of about TILE, and each pair of
+blocks is one task's matrix product that returns a count for each vector, never the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link
 with nothing; vectors of other length than their partner do not link; rows with the same vec_id are one node, each with its
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rillmark.llm._shared import components, cut, shuffle_partitions, written
 
-PASSES, BITS, WINDOW, TILE, SEED = 24, 64, 16, 1024, 71
+PASSES, BITS, WINDOW, TILE, CELL, SEED = 24, 64, 16, 1024, 8192, 71
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -99,6 +103,71 @@ def _windows(cosine: float):
     return compare
 
 
+def _placed(cosine: float, pivots: dict[tuple, np.ndarray]):
+    """Each vector in the cell where it lives (visits = 0) and in those that it visits; a label without pivots is one cell."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for at in range(0, whole.num_rows, 1024) for part in _by_length(whole.slice(at, 1024))):
+            rows, labels = _matrix(batch.column("embedding")), np.array(batch.column("label").to_pylist(), dtype=object)
+            for label in set(labels.tolist()):
+                at = np.flatnonzero(labels == label)
+                centres = pivots.get((label, rows.shape[1]), np.zeros((1, rows.shape[1])))
+                near = rows[at] @ centres.T
+                own = near.argmax(axis=1)
+                other = np.arange(len(centres))[None, :]
+                apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))[own]
+                meets = near[np.arange(len(at)), own][:, None] - near <= apart * np.sqrt(2 - 2 * cosine) + 1e-6
+                meets &= np.where((own[:, None] + other) % 2 == 0, own[:, None] > other, own[:, None] < other)
+                who, cell = np.nonzero(meets)
+                who, cell, visits = np.concatenate([np.arange(len(at)), who]), np.concatenate([own, cell]), np.repeat([0, 1], [len(at), len(who)])
+                for k in range(0, len(who), 4096):
+                    some = batch.take(pa.array(at[who[k : k + 4096]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), rows.shape[1]), pa.int32()), pa.array(cell[k : k + 4096], pa.int32()), pa.array(visits[k : k + 4096], pa.int32()), *some.columns], names=["n", "cell", "visits", *some.schema.names])
+
+    return place
+
+
+def _cells(cosine: float):
+    """Edges between components, from batches in the order of label, n, cell, visits."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, homes, parent = None, [], {}
+
+        def roots(names: np.ndarray) -> np.ndarray:
+            known, at = np.unique(names, return_inverse=True)
+            return np.array([_root(parent, x) for x in known.tolist()], dtype=np.int64)[at]
+
+        for whole in batches:
+            keys = list(zip(*(whole.column(c).to_pylist() for c in ("label", "n", "cell", "visits")), strict=True))
+            at = 0
+            while at < len(keys):
+                stop = next((k for k in range(at + 1, min(at + 1024, len(keys))) if keys[k] != keys[at]), min(at + 1024, len(keys)))
+                part, key = whole.slice(at, stop - at), keys[at]
+                at = stop
+                if key[:3] != cell:
+                    cell, homes, parent = key[:3], [], {}
+                mine = [_matrix(part.column("embedding")), part.column("vec_id").to_numpy(), part.column("component").to_numpy()]
+                if not key[3]:
+                    homes.append(mine)
+                edges = []
+                for home in homes:
+                    near = mine[0] @ home[0].T >= cosine
+                    if not (near & (mine[2][:, None] != home[2][None, :])).any():
+                        continue
+                    mine[2], home[2] = roots(mine[2]), roots(home[2])
+                    i, j = np.nonzero(near & (mine[2][:, None] != home[2][None, :]))
+                    _, first = np.unique(np.stack([mine[2][i], home[2][j]]), axis=1, return_index=True)
+                    for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                        a, b = _root(parent, int(mine[2][x])), _root(parent, int(home[2][y]))
+                        if a != b:
+                            parent[max(a, b)] = min(a, b)
+                            edges.append((int(mine[1][x]), int(home[1][y])))
+                if edges:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["a", "b"])
+
+    return compare
+
+
 def _tile(cosine: float):
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = pdf["block"] == pdf["low"].iloc[0], pdf["block"] == pdf["high"].iloc[0]
@@ -123,12 +192,25 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     rows = written(vectors.select("vec_id", F.col("embedding").cast("array<float>"), "label").withColumn("_row", F.monotonically_increasing_id()), "vectors")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = rows.where("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0").where(finite & F.exists("embedding", lambda x: x != 0))
-    schema = f"pass int, label {rows.schema['label'].dataType.simpleString()}, key long, vec_id long, embedding array<float>"
-    passes = good.select("label", "vec_id", "embedding").mapInArrow(_projected, schema)
+    kind, parts = rows.schema["label"].dataType.simpleString(), 2 * shuffle_partitions(rows.sparkSession)
+    alone = written(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "distinct-vectors")
+    first = alone.where("copies > 1").select("label", "embedding", F.col("vec_id").alias("a"))
+    copies = good.join(first, ["label", "embedding"]).select("a", F.col("vec_id").alias("b")).where("a <> b")
+    alone = alone.drop("copies")
+    passes = alone.select("label", "vec_id", "embedding").mapInArrow(_projected, f"pass int, label {kind}, key long, vec_id long, embedding array<float>")
     order = ["pass", "label", "key", "_tie"]
-    dealt = passes.withColumn("_tie", F.xxhash64("pass", "vec_id")).repartitionByRange(2 * shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
-    links = cut(dealt.select("pass", "label", "vec_id", "embedding").mapInArrow(_windows(cosine), "a long, b long").distinct())
+    dealt = passes.withColumn("_tie", F.xxhash64("pass", "vec_id")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    links = cut(dealt.select("pass", "label", "vec_id", "embedding").mapInArrow(_windows(cosine), "a long, b long").unionByName(copies).distinct())
     named = cut(components(links))
+    pivots: dict[tuple, list] = {}
+    for r in alone.where(F.pmod(F.xxhash64("label", "embedding"), F.lit(CELL)) == 0).select("label", "embedding").collect():
+        pivots.setdefault((r.label, len(r.embedding)), []).append(np.array(r.embedding) / np.linalg.norm(r.embedding))
+    known = alone.join(named.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("label", "vec_id", F.coalesce("component", "vec_id").alias("component"), "embedding")
+    placed = known.mapInArrow(_placed(cosine, {k: np.stack(v) for k, v in pivots.items()}), f"n int, cell int, visits int, label {kind}, vec_id long, component long, embedding array<float>")
+    cell = ["label", "n", "cell"]
+    more = cut(placed.repartition(parts, *cell).sortWithinPartitions(*cell, "visits").mapInArrow(_cells(cosine), "a long, b long").distinct())
+    if not more.isEmpty():
+        named = cut(components(more.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b")))))
     members = good.join(named.withColumnRenamed("node", "vec_id"), "vec_id")
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("_row"), F.col("blocks")).cast("int"))

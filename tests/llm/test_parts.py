@@ -160,3 +160,34 @@ def test_features_cover_whole_texts():
     assert np.diff(first).tolist() == [1, 1, 1, 4]
     one, _ = passage_features(pa.array(["w " * (PASSAGE * 3 + 1)]))
     assert np.allclose(one, x[3:])
+
+
+def test_dense_label_against_brute_force(spark, monkeypatch):
+    """Vectors at cosine 0.95 to each other, with planted pairs and copies: no link is lost, in one cell or in many."""
+    from rillmark.llm import embed_dedup
+
+    rng = np.random.default_rng(11)
+    centre, noise = rng.standard_normal(64) / 8, rng.standard_normal((6000, 64)) / 8
+    x = centre + 0.23 * noise
+    x[3000:] = x[:3000] + 0.195 * noise[3000:]
+    x = np.concatenate([x, x[:40], x[:40]]).astype(np.float32)
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    parent = list(range(len(x)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in zip(*np.nonzero(near), strict=True):
+        p, q = sorted((root(int(a)), root(int(b))))
+        parent[q] = p
+    want = {k: (int(near[k].sum()), root(k)) for k in range(len(x))}
+    vectors = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    for cell in (None, 300):
+        if cell:
+            monkeypatch.setattr(embed_dedup, "CELL", cell)
+        assert {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(vectors).collect()} == want
