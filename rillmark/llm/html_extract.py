@@ -1,10 +1,10 @@
 """Main text of web pages by site style trees.
 
-All pages of a host are merged into one tree: elements with the same path of tags, classes and ids are one node. A node that m
-pages have gets two entropies, to the base m: that of its presentations (the row of its child elements) over the pages, and
+All distinct pages of a host (copies tell nothing of its layout and count once) are merged into one tree: elements with the
+same path of tags, classes and ids are one node. A node that m pages have gets two entropies, to the base m: that of its presentations (the row of its child elements) over the pages, and
 that of its contents, where a content that n pages share counts log n. A node in which all pages look and read alike scores 0,
 one that always differs scores 1; the composite is (1 - g^l) * presentation + g^l * content, l being its depth below. Branches
-below THRESHOLD are removed from each page. With fewer than MIN_PAGES pages a host tells nothing about a node.
+below THRESHOLD are removed from each page. With fewer than MIN_PAGES distinct pages a host tells nothing about a node.
 
 What no statistics of a site can tell is decided by what elements are: scripts, styles, forms, navigation, asides, comments,
 adverts and the like, by tag, role, class or id (fixed lists below). If a page has an article or main element, its text is
@@ -173,34 +173,44 @@ def host_of(url: Column) -> Column:
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page and each distinct (node, look, says) in it one row, the same for every copy of the page."""
+    names = ["host", "digest", "node", "look", "says", "depth", "first", "n"]
+    types = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
     for batch in batches:
-        columns: list[list] = [[], [], [], [], [], []]
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            elements, texts = parse(html or "")
+        columns: list[list] = [[] for _ in names]
+        pages = dict(zip(zip(batch.column("host").to_pylist(), batch.column("digest").to_pylist(), strict=True), batch.column("html").to_pylist(), strict=True))
+        for (host, digest), html in pages.items():
+            elements, texts = parse(html)
             for e, text, _ in texts:
                 while e.parent is not None:
                     e.texts.append(text)
                     e = e.parent
             seen = set()
+            found: dict[tuple, list[int]] = {}
             for e in branches(elements):
                 key = node_key(e.path)
                 look = node_key(">".join(dict.fromkeys(c.path for c in e.children)))
                 says = node_key(" ".join("".join(e.texts).split()))
-                for column, value in zip(columns, (host, key, look, says, e.depth, int(key not in seen)), strict=True):
-                    column.append(value)
+                row = found.setdefault((key, look, says), [0, 0, 0])
+                row[0], row[1], row[2] = max(row[0], e.depth), row[1] + (key not in seen), row[2] + 1
                 seen.add(key)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "node", "look", "says", "depth", "first"])
+            for key, row in found.items():
+                for column, value in zip(columns, (host, digest, *key, *row), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
-    """host, node, pages (that have it) and importance of every branch that a host's pages have.
+    """host, node, pages (distinct ones that have it) and importance of every branch that a host's pages have.
 
-    Presentations and contents are counted over all pages with partial sums, so a host with a third of all pages sends a row
+    Copies are told by host and SHA-256 of the html, a null one being empty; they make equal rows, of which one is kept.
+    Presentations and contents are counted over the distinct pages with partial sums, so a host with a third of all pages sends a row
     for each distinct value and task.
     """
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_observed, "host string, node long, look long, says long, depth int, first long")
-    both = seen.select("host", "node", "depth", "first", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("look").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("says").alias("value")))).alias("v"))
-    counts = both.groupBy("host", "node", "v.kind", "v.value").agg(F.count("*").alias("n"), F.sum("first").alias("first"), F.max("depth").alias("depth"))
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha2("html", 256)))
+    seen = rows.mapInArrow(_observed, "host string, digest binary, node long, look long, says long, depth int, first long, n long").distinct()
+    both = seen.select("host", "node", "depth", "first", "n", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("look").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("says").alias("value")))).alias("v"))
+    counts = both.groupBy("host", "node", "v.kind", "v.value").agg(F.sum("n").alias("n"), F.sum("first").alias("first"), F.max("depth").alias("depth"))
     part = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
     n, log_n = F.col("n"), F.log(F.col("n"))
     sums = counts.groupBy("host", "node").agg(

@@ -106,6 +106,18 @@ def test_site_tree(spark):
     assert all(got[k] == f"Story {k} about {k * 7}" for k in range(12)) and got[100] == "Welcome to us"
 
 
+def test_site_of_copies(spark):
+    """A page that many rows repeat counts once: it does not make the texts of its host look like boilerplate."""
+    page = lambda k, wrap: f"<body><div class='x1'><p>Welcome to us</p></div>{wrap[0]}<div class='x2'><p>Story {k} about {k * 7}</p></div>{wrap[1]}</body>"
+    plain, article = ("", ""), ("<article>", "</article>")
+    pages = [(k, "http://plain/", page(max(k - 180, 0), plain)) for k in range(200)] + [(1000 + k, "http://article/", page(max(k - 180, 0), article)) for k in range(200)]
+    pages += [(2000 + k, "http://same/", page(1, plain)) for k in range(9)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(200):
+        assert got[k] == got[1000 + k] == f"Story {max(k - 180, 0)} about {max(k - 180, 0) * 7}"
+    assert all(got[2000 + k] == "Welcome to us\nStory 1 about 7" for k in range(9))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(0, k) for k in range(400, 450)] + [(k, k + 1) for k in range(500, 560)]
