@@ -104,7 +104,7 @@ def parse_record(data: bytes) -> tuple[dict, int] | str:
     """The record at the start of data and its length, or why there is none."""
     if not data.startswith(b"WARC/"):
         return "no version line"
-    end = data.find(b"\r\n\r\n", 0, 1 << 16)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         return "no end of headers"
     lines = data[:end].split(b"\r\n")
@@ -157,10 +157,17 @@ def _at(data: memoryview, at: int) -> tuple[list[dict], int] | str:
 
 
 def _plain(data: memoryview, at: int) -> bytes:
-    """As many bytes as the plain record at this place says it has (or its first 64 KB)."""
-    head = bytes(data[at : at + (1 << 16)])
-    end, size = head.find(b"\r\n\r\n"), re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)
-    return bytes(data[at : at + end + 8 + int(size[1])]) if end >= 0 and size else head
+    """As many bytes as the plain record at this place says it has (or, if its headers tell no length, these; or all there are, if they do not end)."""
+    size = 1 << 16
+    while True:
+        head = bytes(data[at : at + size])
+        end = head.find(b"\r\n\r\n")
+        if end >= 0:
+            length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head[: end + 2])
+            return bytes(data[at : at + end + 8 + int(length[1])]) if length else head[: end + 4]
+        if at + size >= len(data) or not re.match(rb"WARC/\d+\.\d+\r\n", head):
+            return head  # what begins with no version line is no record, however far it goes
+        size *= 2
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, list[dict], str]]:

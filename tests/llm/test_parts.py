@@ -78,6 +78,18 @@ def test_salvage():
         assert [(a, n) for a, n, _, why in got if why] == [(sum(map(len, members[:5])), len(members[5])), (sum(map(len, members[:11])), len(members[11]) - 40)]
 
 
+def test_headers_of_any_length(spark):
+    """Urls beyond 64 KB come back from members and from plain records, and so do the pages of which they are copies."""
+    digest = lambda x: __import__("base64").b32encode(__import__("hashlib").sha1(x).digest()).decode()
+    urls = ["http://h/" + "u" * n for n in (10, 65_300, 100_000, 300_000)]
+    for pack in (warc.member, bytes):
+        data = b"".join(pack(warc.record_bytes(k, u, b"x" * k, digest(b"x" * k), "response", None)) for k, u in enumerate(urls))
+        assert [(r["page_id"], r["url"]) for _, _, rows, why in warc.salvage(data) for r in rows if not why] == list(enumerate(urls))
+    pages = spark.createDataFrame([(1, urls[2], "<p>x"), (2, "http://h/b", "<p>x"), (3, urls[3], "<p>y")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert {k: (r.url, r.record_type, r.refers_to, r.gap) for k, r in got.items()} == {1: (urls[2], "response", None, False), 2: ("http://h/b", "revisit", 1, False), 3: (urls[3], "response", None, False)}
+
+
 def test_member_ends_in_nul():
     for size in (0, 1, 255, 1 << 24):
         data = warc.member(b"x" * size)
