@@ -4,8 +4,9 @@ A document is a bag of passages of PASSAGE words; all passages are encoded, none
 shares of byte classes (each ASCII punctuation mark, case, digits, line ends, non-ASCII), word length and repetition figures
 and hashed word frequencies. An encoder h = tanh(W x) and gated attention a ~ exp(w . (tanh(V h) * sigmoid(U h))) weigh the
 passages; the score is sigmoid(c . sum(a h) + b). All weights are learned together from document labels, by Adam on the
-driver, from a bounded sample: at most MAX_DOCS labelled documents (those with the smallest hashes of doc_id) with at most
-MAX_PASSAGES passages each, evenly spaced. Scoring reads every passage.
+driver, from a bounded sample of whole documents: of those that have a label and a text the MAX_DOCS with the smallest hashes
+of doc_id, and of these, in that order, as many as have MAX_PASSAGES passages together (one that alone has more is left out).
+Scoring reads every passage.
 
 Defined cases: null and empty texts are a bag of one empty passage; label rows with null doc_id or null quality, and
 documents with contradicting labels, teach nothing; without labels of both kinds every score is the share of label 1 (0.5 if
@@ -18,14 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.llm._shared import apart
+from rillmark.llm._shared import apart, cut
 from rillmark.llm._tokens import SPACES, Words, buffers, pieces
 
 PASSAGE, BUCKETS = 128, 256
-MAX_DOCS, MAX_PASSAGES = 4096, 64
+MAX_DOCS, MAX_PASSAGES = 4096, 65_536
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 16, 40, 128, 3e-3, 1e-3, 5
 #: Hashed words count this much beside the other features; with full weight a small sample is learned by heart.
 WORD_WEIGHT = 0.1
@@ -127,8 +128,9 @@ def train(bags: list[np.ndarray], y: np.ndarray) -> AttentionModel | float:
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
     rng = np.random.Generator(np.random.PCG64(SEED))
-    every = np.concatenate(bags).astype(np.float64)
-    model = AttentionModel(rng, every.mean(axis=0), 1 / (every.std(axis=0) + 0.05))
+    n = sum(map(len, bags))
+    mean = sum(x.sum(axis=0, dtype=np.float64) for x in bags) / n
+    model = AttentionModel(rng, mean, 1 / (np.sqrt(sum(((x - mean) ** 2).sum(axis=0) for x in bags) / n) + 0.05))
     first = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     step = 0
     for epoch in range(EPOCHS):
@@ -156,18 +158,25 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> AttentionModel | float:
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
-    known = known.select("doc_id", F.col("low").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS)
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = cut(known.select("doc_id", F.col("low").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for whole in batches for x in pieces(whole, ["text"])):
+            counts = np.diff(Words(*buffers(batch.column("text")), SPACES).first)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.maximum(-(-counts // PASSAGE), 1), pa.int64())], names=["doc_id", "passages"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for whole in batches for x in pieces(whole, ["text"])):
             x, first = passage_features(batch.column("text"))
-            rows = []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                chosen = np.unique(np.linspace(a, b - 1, min(b - a, MAX_PASSAGES)).astype(np.int64))
-                rows.append(x[chosen].astype(np.float16).tobytes())
+            rows = [x[a:b].astype(np.float16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "bag"])
 
-    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # MAX_DOCS rows at most
+    sizes = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text").mapInArrow(measure, "doc_id long, passages long")
+    sizes = sizes.groupBy("doc_id").agg(F.max("passages").alias("n")).where(F.col("n") <= MAX_PASSAGES)
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # MAX_DOCS rows at most
+    fits = cut(sizes.withColumn("_upto", upto).where(F.col("_upto") <= MAX_PASSAGES).select("doc_id"))
+    some = docs.select("doc_id", "text").join(F.broadcast(known.join(fits, "doc_id")), "doc_id")
     found = some.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(encode, "doc_id long, quality int, bag binary")
     rows = sorted(found.dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
     bags = [np.frombuffer(r.bag, dtype=np.float16).reshape(-1, N_FEATURES) for r in rows]

@@ -215,3 +215,20 @@ def test_dense_label_against_brute_force(spark, monkeypatch):
         if cell:
             monkeypatch.setattr(embed_dedup, "CELL", cell)
         assert {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(vectors).collect()} == want
+
+
+def test_training_reads_whole_texts(spark, monkeypatch):
+    """All passages of a labelled text teach, and labels without a document take no place."""
+    from rillmark.llm import quality_mil
+
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    docs = spark.createDataFrame([(k, "w " * (128 * (70 + k))) for k in ids[:6]], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, quality int")
+    taught = []
+    monkeypatch.setattr(quality_mil, "train", lambda bags, y: taught.append(sorted(map(len, bags))) or 0.5)
+    monkeypatch.setattr(quality_mil, "MAX_DOCS", 6)
+    quality_mil.fit(docs, labels)
+    assert taught == [[70 + k for k in ids[:6]]]
+    monkeypatch.setattr(quality_mil, "MAX_PASSAGES", 200)
+    quality_mil.fit(docs, labels)
+    assert 1 <= len(taught[1]) <= 2 and set(taught[1]) <= set(taught[0])
