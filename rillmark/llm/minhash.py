@@ -1,37 +1,45 @@
 """Near-duplicate documents: MinHash, banding, signature check, full-set check, components by large-star and small-star.
 
 A text's set is its distinct 5-word shingles (of fewer words, but not none, the whole sequence), as 64-bit hashes. Equal sets
-first become one class, named by the smallest doc_id. Each class gets 128 minima under random functions a*x+b modulo 2^64,
-in 32 bands of 4; two sets of similarity 0.75 share no band with probability 5e-6.
-
-Classes that share a band are not all paired with each other. The buckets are dealt by ranges and sorted, each in an order
-of its own, and every member is paired with the three before it. These pairs are estimated on the signatures (cut at 0.58, over
-four standard deviations below 0.75); what hangs together by them is a family. Each member's likeliest partner is counted on
-the full sets; that joins most of a family. The members outside a family's largest part are then held against all the others,
-in tiles of TILE by TILE texts: a tile counts full sets where the estimate allows it and the two aren't joined yet, and returns
-a spanning forest of its links, never the pairs. Last, bucket mates of different families are
-estimated, in tiles too, and what passes is counted. So no link between components is left out, and a large group of copies
-or of texts with a passage in common costs a row for each text and tile.
+first become one class, for which the row with the smallest doc_id stands. Each class gets 128 minima under random functions
+a*x+b modulo 2^64, in 32 bands of 4; two sets of similarity 0.75 share no band with probability 5e-6.
+
+Candidates. Classes that share a band are not all paired with each other. The buckets are dealt by ranges and sorted, each in
+an order of its own, and every member is paired with the three before it. These pairs are estimated on the signatures (cut
+at 0.58, over four standard deviations below 0.75); what hangs together by them is a family. Bucket mates of different
+families are then estimated too, in tiles, and families between which a pair passes become one. So all pairs that share a
+band and pass the estimate lie inside a family.
+
+Links. The members of a family are dealt into blocks of at most BLOCK texts (or BLOCK_SHINGLES shingles, or one text), and a
+block's task counts the common shingles of all its pairs exactly and returns what hangs together as a star, never the pairs.
+Nearly all families are one block. The larger ones are dealt once more in another way, which joins the main parts of their
+blocks; the members that then still lie outside a family's largest part are held against all others, in tiles of a block by
+a block. So every pair of a family is counted or already joined, and texts are sent once, in large families twice, and again
+only for strays.
 
 Defined cases: null texts and texts without words have no shingles and are linked with nothing; rows with the same doc_id
-are one node, each row is returned; a null doc_id is linked with nothing and kept; other columns are not read.
+are one node, each row is returned, and each of its texts links; a null doc_id is linked with nothing and kept; an empty
+table gives an empty result; very long texts are read whole, in pieces; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm._shared import apart, compact, components, shuffle_partitions, written
+from rillmark.llm._shared import Scratch, apart, components, shuffle_partitions, stars, written
 from rillmark.llm._tokens import SPACES, Words, buffers, pieces, shingles
 
 ROWS, BANDS = 4, 32
-NEAR, TILE, BUCKET_TILE = 3, 128, 1024
+NEAR, BUCKET_TILE = 3, 1024
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Shingles of up to so many texts on a side are counted by listing pairs, more frequent ones by a matrix product.
+RARE = 8
 ESTIMATE = 0.58
 SEED = 20240229
 
@@ -60,7 +68,8 @@ def _minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets), signature (the 16 highest bits of each of the 128 minima) and bands (32 longs) of each row; the last three are null for empty sets."""
+    """For each row of docs: row (its number), doc_id, text_hash, n_shingles, set_key (equal for equal sets), signature (the 16 lowest bits of each of the 128 minima) and bands (32 longs); the last three are null for empty sets."""
+    passed = ["row", "doc_id", "text_hash"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _functions()
@@ -73,7 +82,7 @@ def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
                     continue
                 least = _minima(values, a, b)
                 keys.append(np.array([len(values), values.sum(), np.bitwise_xor.reduce(values * np.uint64(0x9E3779B97F4A7C15)), least[0]], dtype=np.uint64).tobytes())
-                signatures.append((least >> np.uint64(48)).astype(np.uint16).tobytes())
+                signatures.append(least.astype(np.uint16).tobytes())
                 rows = least.reshape(BANDS, ROWS)
                 key = np.arange(BANDS, dtype=np.uint64)
                 for r in range(ROWS):
@@ -81,27 +90,26 @@ def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
                     key ^= key >> np.uint64(32)
                 bands.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "signature", "bands"],
+                [*[batch.column(c) for c in passed], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=[*passed, "n_shingles", "set_key", "signature", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>")
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(sketch, "row long, doc_id long, text_hash long, n_shingles long, set_key binary, signature binary, bands array<long>")
 
 
 def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in ESTIMATE of their places or more, with that share."""
+    """The pairs (a, b) whose signatures agree in ESTIMATE of their places or more."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in ("left", "right"))
-                share = (left == right).mean(axis=1)
-                rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "share"])
-                yield rows.filter(pa.array(share >= ESTIMATE))
+                yield batch.select(["a", "b"]).filter(pa.array((left == right).mean(axis=1) >= ESTIMATE))
 
     joined = pairs.join(signatures.select(F.col("node").alias("a"), F.col("signature").alias("left")), "a")
     joined = joined.join(signatures.select(F.col("node").alias("b"), F.col("signature").alias("right")), "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(agree, "a long, b long, share double")
+    return joined.select("a", "b", "left", "right").mapInArrow(agree, "a long, b long")
 
 
 def _bucket_mates(percent: int):
@@ -131,174 +139,214 @@ def _bucket_mates(percent: int):
     return mates
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def _runs(values: list[np.ndarray]) -> np.ndarray:
+    """Where the runs of equal keys begin, and the end."""
+    fresh = np.concatenate([[True], np.any([v[1:] != v[:-1] for v in values], axis=0)])
+    return np.append(np.flatnonzero(fresh), len(fresh))
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, signatures: DataFrame) -> DataFrame:
-    """node, text and signature of the nodes. Rows that share a doc_id are one node, and the one that the class was named by stands for it."""
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where("text is not null").join(nodes, "node", "left_semi")
-    return texts.groupBy("node").agg(F.min("text").alias("text")).join(signatures, "node")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, ["left", "right"]):
-                keep = [_linked(x, y, percent) for x, y in zip(_sets(part.column("left"), n), _sets(part.column("right"), n), strict=True)]
-                yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    joined = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(count, "a long, b long")
-
-
-def _tile(n: int, percent: int):
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        few, many = pdf[pdf["stray"]].reset_index(drop=True), pdf[~pdf["stray"]].reset_index(drop=True)
-        if few.empty or many.empty:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        left, right = (np.frombuffer(b"".join(x["signature"]), dtype=np.uint16).reshape(len(x), -1) for x in (few, many))
-        share = np.stack([(row == right).mean(axis=1) for row in left])
-        share[few["part"].to_numpy()[:, None] == many["part"].to_numpy()[None, :]] = 0
-        rows, columns = np.nonzero(share >= ESTIMATE)
-        order = np.argsort(-share[rows, columns], kind="stable")
-        own: dict[tuple[int, int], np.ndarray] = {}
-
-        def set_of(side: int, i: int) -> np.ndarray:
-            if (side, i) not in own:
-                own[side, i] = next(_sets(pa.array([(few, many)[side]["text"].iloc[i]], pa.string()), n))
-            return own[side, i]
-
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        links = []
-        for i, j in zip(rows[order].tolist(), columns[order].tolist(), strict=True):
-            a, b = root(int(few["part"].iloc[i])), root(int(many["part"].iloc[j]))
-            if a != b and _linked(set_of(0, i), set_of(1, j), percent):
-                parent[max(a, b)] = min(a, b)
-                links.append((int(few["node"].iloc[i]), int(many["node"].iloc[j])))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return link
-
-
-def _family_links(families: DataFrame, parts: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between the parts of each family: the members outside its largest part against all members, in tiles."""
-    rows = _in_parts(families.select("node", F.col("component").alias("family")), parts, "node").withColumnRenamed("node_part", "part")
-    sizes = rows.groupBy("family", "part").agg(F.count("*").alias("size"))
-    most = sizes.groupBy("family").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("members"), F.count("*").alias("parts"), F.max("size").alias("largest")).where("parts > 1")
-    blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / TILE)).cast("int")
-    most = most.select("family", "main", blocks(F.col("members")).alias("all_blocks"), blocks(F.col("members") - F.col("largest")).alias("stray_blocks"))
-    rows = rows.join(most, "family").join(texts, "node")
-    hashed = F.xxhash64("node")
-    every = rows.withColumn("stray", F.lit(False)).withColumn("column", F.pmod(hashed, "all_blocks").cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)))
-    strays = rows.where("part <> main").withColumn("stray", F.lit(True)).withColumn("row", F.pmod(hashed, "stray_blocks").cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)))
-    names = ["family", "row", "column", "stray", "node", "part", "signature", "text"]
-    return every.select(*names).unionByName(strays.select(*names)).groupBy("family", "row", "column").applyInPandas(_tile(n, percent), "a long, b long")
-
-
-def _in_parts(rows: DataFrame, parts: DataFrame, column: str) -> DataFrame:
-    """rows with column_part: the component of that node, or the node itself."""
-    own = parts.select(F.col("node").alias(column), F.col("component").alias(f"{column}_part"))
-    return rows.join(own, column, "left").withColumn(f"{column}_part", F.coalesce(f"{column}_part", column))
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by the keys, in batches that hold whole groups, with where each group begins, and the end."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            runs = _runs([rows.column(c).to_numpy(zero_copy_only=False) for c in keys])
+            if len(runs) > 2:  # the last group may go on in the next batch
+                yield rows.slice(0, int(runs[-2])), runs[:-1]
+            held = rows.slice(int(runs[-2]))
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def _with_sets(rows: pa.RecordBatch, runs: np.ndarray, n: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Each group's first and next row and its sets, which are made some texts at a time."""
+    made = (x for part in pieces(rows, ["text"]) for x in _sets(part.column("text"), n))
+    for low, high in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+        yield low, high, list(islice(made, high - low))
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set on the left has in common with each on the right."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    of_a, of_b = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    by = np.argsort(b, kind="stable")
+    b, of_b = b[by], of_b[by]
+    first = np.searchsorted(b, a)
+    times = np.searchsorted(b, a, side="right") - first
+    rare = np.flatnonzero((times > 0) & (times <= RARE))
+    k = times[rare]
+    at = np.repeat(first[rare] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+    found = np.bincount(np.repeat(of_a[rare], k) * len(right) + of_b[at], minlength=len(left) * len(right)).reshape(len(left), len(right)).astype(np.float64)
+    often = times > RARE
+    values = np.unique(a[often])
+    for at in range(0, len(values), 4096):
+        some = values[at : at + 4096]
+        mine = np.flatnonzero(often & (a >= some[0]) & (a <= some[-1]))
+        other = slice(np.searchsorted(b, some[0]), np.searchsorted(b, some[-1], side="right"))
+        place = np.minimum(np.searchsorted(some, b[other]), len(some) - 1)
+        same = some[place] == b[other]
+        x, y = np.zeros((len(left), len(some)), np.float32), np.zeros((len(right), len(some)), np.float32)
+        x[of_a[mine], np.searchsorted(some, a[mine])] = 1
+        y[of_b[other][same], place[same]] = 1
+        found += x @ y.T
+    return found
+
+
+def _links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets on the left have 100 * intersection >= percent * union with which on the right."""
+    if len(left) * len(right) == 1:
+        both = np.array([[len(np.intersect1d(left[0], right[0], assume_unique=True))]])
+    else:
+        both = _common(left, right)
+    return 100 * both >= percent * (np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - both)
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars(a, b)], names=["a", "b"])
+
+
+def _in_blocks(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) between doc_ids that join what is linked inside each block (family, block) of texts."""
+    key = ["family", "block"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, runs in _whole_groups(batches, key):
+            nodes, ids = rows.column("node").to_numpy(), rows.column("doc_id").to_numpy()
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for low, high, sets in _with_sets(rows, runs, n):
+                own = np.unique(nodes[low:high], return_index=True)[1]  # repeated rows have one node
+                sets = [sets[i] for i in own]
+                x, y = np.nonzero(_links_between(sets[:1], sets[1:], percent)) if len(sets) == 2 else np.nonzero(_links_between(sets, sets, percent)) if len(sets) > 2 else ((), ())
+                if len(x):
+                    far = stars(ids[low + own[x]], ids[low + own[y + (len(sets) == 2)]])
+                    a.append(far[0]), b.append(far[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    dealt = texts.select(*key, "node", "doc_id", "text").repartition(*key).sortWithinPartitions(*key, "node")
+    return dealt.mapInArrow(link, "a long, b long")
+
+
+def _strays(texts: DataFrame, parts: DataFrame, kept: Scratch, n: int, percent: int) -> DataFrame:
+    """Edges between the parts of each family: the members outside its largest part against all members, in tiles of a block by a block."""
+    rows = texts.join(parts.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "part"), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    rows = kept.keep(rows.select("family", "node", "doc_id", "part", "n_shingles", "text"))
+    sizes = rows.groupBy("family", "part").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total"))
+    most = sizes.groupBy("family").agg(F.max(F.struct("members", "total", "part")).alias("main"), F.sum("members").alias("members"), F.sum("total").alias("total"), F.count("*").alias("parts")).where("parts > 1")
+    most = most.select("family", F.col("main.part").alias("main"), _blocks("members", "total").alias("columns"), _blocks(F.col("members") - F.col("main.members"), F.col("total") - F.col("main.total")).alias("rows"))
+    rows = rows.join(F.broadcast(kept.keep(most)), "family")  # a row for each family of over BLOCK texts that isn't joined yet
+    hashed = F.xxhash64("node", F.lit(2))
+    row, column = F.pmod(hashed, "rows").cast("int"), F.pmod(hashed, "columns").cast("int")
+    every = rows.select("family", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), column.alias("column"), F.lit(False).alias("stray"), "doc_id", "part", "text")
+    strays = rows.where("part <> main").select("family", row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), F.lit(True).alias("stray"), "doc_id", "part", "text")
+    key = ["family", "row", "column"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tiles, runs in _whole_groups(batches, key):
+            stray, ids, part = (tiles.column(c).to_numpy(zero_copy_only=False) for c in ("stray", "doc_id", "part"))
+            for low, high, sets in _with_sets(tiles, runs, n):
+                few, many = low + np.flatnonzero(stray[low:high]), low + np.flatnonzero(~stray[low:high])
+                if len(few) and len(many):
+                    linked = _links_between([sets[i - low] for i in few], [sets[i - low] for i in many], percent)
+                    a, b = np.nonzero(linked & (part[few][:, None] != part[many][None, :]))
+                    yield _edges(ids[few[a]], ids[many[b]])
+
+    return every.unionByName(strays).repartition(*key).sortWithinPartitions(*key).mapInArrow(link, "a long, b long")
+
+
+def _blocks(members, total):
+    """How many blocks so many texts with so many shingles together need."""
+    count = lambda x, most: F.ceil((F.col(x) if isinstance(x, str) else x) / most)
+    return F.greatest(F.lit(1), count(members, BLOCK), count(total, BLOCK_SHINGLES)).cast("int")
 
 
 def _alike_in_tiles(percent: int):
-    """For rows sorted by tile: the pairs in a tile that differ in family and part, are near enough in size and estimated alike."""
+    """For rows sorted by tile: pairs in a tile that differ in family, are near enough in size and estimated alike, one for each two families."""
     tile = ["band", "key", "row", "column"]
 
-    def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
-        values = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in (*tile, "block", "node", "size", "part", "family")}
+    def compare(rows: pa.RecordBatch, runs: np.ndarray) -> pa.RecordBatch:
+        values = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("row", "column", "block", "size", "family")}
         signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint16).reshape(rows.num_rows, -1)
-        fresh = np.concatenate([[True], np.any([values[c][1:] != values[c][:-1] for c in tile], axis=0)])
-        starts = np.flatnonzero(fresh)
-        ends = np.repeat(np.append(starts[1:], len(fresh)), np.diff(np.append(starts, len(fresh))))
-        a, b = [], []
-        for step in range(1, int((ends - np.arange(len(ends))).max())):
-            i = np.flatnonzero(np.arange(len(ends)) + step < ends)
+        ends = np.repeat(runs[1:], np.diff(runs))
+        places = np.arange(len(ends))
+        found = [np.zeros((0, 2), np.int64)]
+        for step in range(1, int(np.diff(runs).max())):
+            i = np.flatnonzero(places + step < ends)
             j = i + step
             own = values["row"][i] == values["column"][i]
-            keep = (own | (values["block"][i] != values["block"][j])) & (values["family"][i] != values["family"][j]) & (values["part"][i] != values["part"][j])
+            keep = (own | (values["block"][i] != values["block"][j])) & (values["family"][i] != values["family"][j])
             keep &= 100 * np.minimum(values["size"][i], values["size"][j]) >= percent * np.maximum(values["size"][i], values["size"][j])
             i, j = i[keep], j[keep]
             near = (signatures[i] == signatures[j]).mean(axis=1) >= ESTIMATE
-            a.append(np.minimum(values["node"][i[near]], values["node"][j[near]]))
-            b.append(np.maximum(values["node"][i[near]], values["node"][j[near]]))
-        none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (a, b)], names=["a", "b"])
+            found.append(np.unique(np.stack([values["family"][i[near]], values["family"][j[near]]], axis=1), axis=0))
+        pairs = np.concatenate(found)
+        return _edges(pairs[:, 0], pairs[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            last = np.ones(rows.num_rows, dtype=bool)
-            for c in tile:
-                value = rows.column(c).to_numpy(zero_copy_only=False)
-                last &= value == value[-1]
-            whole = int(np.argmax(last))  # the last tile may go on in the next batch
-            if whole:
-                yield compare(rows.slice(0, whole))
-            held = rows.slice(whole)
-        if held is not None:
-            yield compare(held)
+        for rows, runs in _whole_groups(batches, tile):
+            yield compare(rows, runs)
 
     return run
 
 
-def _mixed_buckets(marked: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of bucket mates in different families and parts that are estimated alike. Buckets of more than BUCKET_TILE rows are cut into tiles (signatures are short, so these may be larger than tiles of texts); a tile returns what passes the estimate, not its pairs."""
+def _mixed_buckets(marked: DataFrame, signatures: DataFrame, kept: Scratch, percent: int) -> DataFrame:
+    """Edges (a, b) between families of which a bucket has members that are estimated alike. Buckets of more than BUCKET_TILE rows are cut into tiles; a tile returns which families it joins, not its pairs."""
     mixed = marked.groupBy("band", "key").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.count("*").alias("members")).where("low <> high")
-    mixed = mixed.select("band", "key", F.ceil(F.col("members") / BUCKET_TILE).cast("int").alias("blocks"))
-    rows = compact(marked.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
-    rows = rows.join(signatures, "node").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = kept.keep(mixed.select("band", "key", F.ceil(F.col("members") / BUCKET_TILE).cast("int").alias("blocks")))
+    rows = kept.keep(marked.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
     tile = ["band", "key", "row", "column"]
-    rows = rows.withColumn("row", F.least("block", "_other")).withColumn("column", F.greatest("block", "_other")).select(*tile, "block", "node", "size", "part", "family", "signature")
+    rows = rows.join(signatures, "node").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("row", F.least("block", "_other")).withColumn("column", F.greatest("block", "_other")).select(*tile, "block", "size", "family", "signature")
     return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_alike_in_tiles(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept (doc_id = component_id) of each row of docs (doc_id, text)."""
-    rows = written(sketches(docs, n), "sketches")
-    full = rows.where("set_key is not null and doc_id is not null")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    member = full.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "node").where("doc_id <> node").distinct()
-    # On both columns, so that a large class does not meet in one task.
-    heads = full.join(classes.withColumn("doc_id", F.col("node")), ["doc_id", "set_key"])
-    signatures = heads.select("node", "signature").dropDuplicates(["node"])
-    banded = heads.select("node", F.col("n_shingles").cast("long").alias("size"), F.posexplode("bands").alias("band", "key"))
+def _families(heads: DataFrame, kept: Scratch, percent: int) -> DataFrame:
+    """node and family of every class that has a candidate partner. Nodes and families are numbers of rows."""
+    signatures = heads.select("node", "signature")
+    banded = heads.select("node", "size", F.posexplode("bands").alias("band", "key"))
     order = ["band", "key", "_tie"]
-    dealt = banded.withColumn("_tie", F.xxhash64("band", "node")).repartitionByRange(2 * shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    shared = written(dealt.select("band", "key", "node", "size").mapInArrow(_bucket_mates(percent), "band int, key long, node long, size long, mates array<long>"), "buckets")
+    dealt = banded.withColumn("_tie", F.xxhash64("band", "node")).repartitionByRange(2 * shuffle_partitions(heads.sparkSession), *order).sortWithinPartitions(*order)
+    shared = kept.keep(dealt.select("band", "key", "node", "size").mapInArrow(_bucket_mates(percent), "band int, key long, node long, size long, mates array<long>"))
     near = shared.select("node", F.explode("mates").alias("mate"))
-    pairs = compact(_estimated(near.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct(), signatures))
-    families = compact(components(pairs))
-    texts = written(_texts_of(docs, families, signatures), "family-texts")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
-    links = compact(_confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, n, percent))
-    links = compact(links.unionByName(_family_links(families, compact(components(links)), texts, n, percent)))
-    # Bucket mates in different families that no link joins.
-    parts = compact(components(links))
-    marked = _in_parts(shared.select("band", "key", "node", "size"), parts, "node").withColumnRenamed("node_part", "part")
-    marked = _in_parts(marked, families, "node").withColumnRenamed("node_part", "family")
-    more = compact(_mixed_buckets(marked, signatures, percent).distinct())
-    ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = links.unionByName(_confirmed(more, _texts_of(docs, ends, signatures), n, percent))
-    links = links.unionByName(member.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
-    named_rows = components(links)
-    out = rows.select("doc_id", "n_shingles").join(named_rows.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id"), "doc_id", "left")
+    pairs = _estimated(near.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct(), signatures)
+    families = components(pairs)
+    own = families.withColumnRenamed("component", "family")
+    marked = shared.select("band", "key", "node", "size").join(own, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    more = kept.keep(_mixed_buckets(marked, signatures, kept, percent))
+    kept.drop(shared)
+    if not more.isEmpty():
+        families = components(more.unionByName(families.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    return families.withColumnRenamed("component", "family")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept (doc_id = component_id) of each row of docs (doc_id, text)."""
+    kept = Scratch(docs.sparkSession, "near-duplicates")
+    sketched = kept.keep(sketches(docs, n))
+    full = sketched.where("set_key is not null and doc_id is not null")
+    repeated = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    repeated = kept.keep(repeated.select("set_key", F.col("first.row").alias("node"), F.col("first.doc_id").alias("name")))
+    copies = kept.keep(full.select("row", "doc_id", "set_key").join(repeated, "set_key").where("row <> node").select("row", "doc_id", "name"))
+    heads = full.join(copies.select("row"), "row", "left_anti")
+    heads = kept.keep(heads.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "doc_id", "text_hash", "signature", "bands"))
+    rows = kept.keep(sketched.select("doc_id", "n_shingles"))
+    kept.drop(sketched, repeated)
+    families = _families(heads, kept, percent)
+    members = kept.keep(heads.select("node", "doc_id", "text_hash", F.col("size").alias("n_shingles")).join(families, "node"))
+    kept.drop(heads)
+    large = members.groupBy("family").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("blocks")).where("blocks > 1")
+    large = kept.keep(large)
+    members = members.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).where("text is not null")
+    texts = kept.keep(texts.join(members, ["doc_id", "text_hash"]).select("node", "doc_id", "n_shingles", "family", "blocks", "text"))
+    block = lambda seed: F.pmod(F.xxhash64("node", F.lit(seed)), "blocks").cast("int")
+    links = kept.keep(_in_blocks(texts.withColumn("block", block(0)), n, percent))
+    if not large.isEmpty():
+        again = texts.where("blocks > 1")
+        links = links.unionByName(kept.keep(_in_blocks(again.withColumn("block", block(1)), n, percent)))
+        links = links.unionByName(kept.keep(_strays(again, components(links), kept, n, percent)))
+    named = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("name").alias("b"))))
+    out = rows.join(named.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rillmark.llm import decontam, html_extract, pii, warc
+from rillmark.llm import _shared, decontam, html_extract, pii, warc
 from rillmark.llm._shared import components
 
 
@@ -130,7 +131,9 @@ def test_site_of_copies(spark):
     assert all(got[2000 + k] == "Welcome to us\nStory 1 about 7" for k in range(9))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_a_part", [100_000, 20])
+def test_components(spark, monkeypatch, edges_a_part):
+    monkeypatch.setattr(_shared, "EDGES", edges_a_part)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(0, k) for k in range(400, 450)] + [(k, k + 1) for k in range(500, 560)]
     parent = {}
@@ -148,33 +151,83 @@ def test_components(spark):
     assert got == {x: root(x) for x in linked}
 
 
-def test_near_copies_in_a_large_family(spark):
-    """A family whose members are often too far from each other is joined through others; all is held against brute force."""
-    from rillmark.llm.minhash import near_duplicates
-
-    rng = random.Random(5)
-    base = [f"w{k}" for k in range(60)]
-    docs = []
-    for k in range(250):
-        words = list(base)
-        for _ in range(rng.randrange(0, 5)):
-            words[rng.randrange(60)] = f"e{rng.randrange(40)}"
-        docs.append((k, " ".join(words)))
-    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(56)} for k, t in docs}
-    parent = {k: k for k in sets}
+def brute_components(docs, n=5, percent=75):
+    """doc_id -> smallest doc_id reachable, by comparing all pairs; rows with the same doc_id are one node."""
+    ids = sorted({k for k, _ in docs})
+    parent = {k: k for k in ids}
 
     def root(x):
         while parent[x] != x:
+            parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for a in sets:
-        for b in range(a):
-            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {k: root(k) for k in sets}
+    vocabulary, sets = {}, []
+    for k, t in docs:
+        w = t.split()
+        sets.append((k, {vocabulary.setdefault(x, len(vocabulary)) for x in ([tuple(w[i : i + n]) for i in range(len(w) - n + 1)] or [tuple(w)])}))
+    m = np.zeros((len(sets), len(vocabulary)), dtype=np.float32)
+    for i, (_, x) in enumerate(sets):
+        m[i, list(x)] = 1
+    size = m.sum(axis=1)
+    for at in range(0, len(sets), 500):
+        both = m[at : at + 500] @ m.T
+        for i, j in zip(*np.nonzero(100 * both >= percent * (size[at : at + 500, None] + size[None, :] - both)), strict=True):
+            x, y = sorted((root(sets[at + i][0]), root(sets[j][0])))
+            parent[y] = x
+    return {k: root(k) for k in ids}
+
+
+def near(spark, docs):
+    from rillmark.llm.minhash import near_duplicates
+
+    return {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+
+def edited(rng, k, base, edits):
+    words = list(base)
+    for _ in range(edits):
+        words[rng.randrange(len(base))] = f"e{rng.randrange(40)}"
+    return k, " ".join(words)
+
+
+def test_near_copies_in_a_large_family(spark, monkeypatch):
+    """A family whose members are often too far from each other is joined through others, in one block or in many; all is held against brute force."""
+    from rillmark.llm import minhash
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    docs = [edited(rng, k, base, rng.randrange(0, 5)) for k in range(250)]
+    for block in (None, 20, 7):
+        if block:
+            monkeypatch.setattr(minhash, "BLOCK", block)
+        assert near(spark, docs) == brute_components(docs)
+    assert len(set(near(spark, docs).values())) > 1
+
+
+def test_three_thousand_near_copies(spark):
+    """One family of 3,000 near copies of 120 words, with strays, against brute force."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    docs = [edited(rng, k, base, rng.choice((1, 2, 3, 4, 5, 7))) for k in range(3000)]
+    assert near(spark, docs) == brute_components(docs)
+
+
+def test_rows_with_one_doc_id_and_different_texts(spark):
+    """Each text of a document links, whichever of them names a class."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    docs = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (5, b), (4, a + " more"), (4, "x y z"), (4, a + " more"), (7, "x y z")]
+    assert near(spark, docs) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 1} == brute_components(docs)
+
+
+def test_common_counts_of_sets():
+    """Frequent and rare values, on both sides, as sets would count them."""
+    from rillmark.llm.minhash import _common
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(40)]
+    for left, right in ((sets, sets), (sets[:3], sets[3:]), (sets[:30], sets[30:32])):
+        assert _common(left, right).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
 
 
 def test_features_cover_whole_texts():
