@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms: validated numbers and dates are permuted, by a keyed Feistel network, within their format.
 
-Found and validated: payment card numbers (13 to 19 digits, Luhn), IBANs (mod 97), telephone numbers (+ and 7 to 15 digits, or
-(ddd) ddd-dddd), US social security numbers, IPv4 addresses, calendar dates (ISO, or day and month with the year last) and
+Found and validated: payment card numbers (13 to 19 digits, Luhn), IBANs (mod 97), telephone numbers (+ and 7 to 15 digits, of
+which the country code stays, or (ddd) ddd-dddd, which is read as one of country code 1), US social security numbers, IPv4 addresses, calendar dates (ISO, or day and month with the year last) and
 the local parts of e-mail addresses. With slashes the month is read
 first where that gives a month. A value is read without its separators, permuted in the set of all valid values of its
 kind and shape, and written back with its separators: equal values get equal pseudonyms in every document, different ones
@@ -9,7 +9,7 @@ different pseudonyms, and a pseudonym passes the validation again. Without the k
 
 The work is a map over rows; a task remembers the pseudonyms of frequent values.
 
-Defined cases: null texts stay null and empty ones empty; digit strings that fail validation stay; a date between 1900 and
+Defined cases: an empty table gives an empty result; null texts stay null and empty ones empty; very long texts are read whole; digit strings that fail validation stay; a date between 1900 and
 2099 stays between these, others stay as they are; repeated rows are each returned; other columns pass through, and columns
 that are called n_replaced or replaced are replaced.
 """
@@ -42,6 +42,10 @@ _MAYBE = re.compile(r"\d\D{0,3}\d|@")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+# The country calling codes of two digits (ITU-T E.164). 1 and 7 have one digit, all others three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 class Permutation:
     """A keyed permutation of 0 .. n-1 for each tweak: a Feistel network over two equal halves that cover n, walked until the value is below n."""
 
@@ -71,6 +75,11 @@ class Permutation:
                 return value
 
 
+def country_code(digits: str) -> str:
+    """The country calling code that an international number begins with."""
+    return digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+
+
 def luhn_digit(body: str) -> str:
     """The check digit that follows these digits."""
     total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
@@ -120,7 +129,8 @@ def pseudonym(kind: str, text: str, permute) -> str | None:
             return None
         return _ssn(permute(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, "ssn"))
     if kind == "phone":
-        return f"{permute(int(text), 10 ** len(text), f'phone{len(text)}'):0{len(text)}}"
+        code, value = text.split(" ")
+        return f"{permute(int(value), 10 ** len(value), f'phone{code}:{len(value)}'):0{len(value)}}"
     if kind == "ipv4":
         octets = [int(x) for x in text.split(".")]
         if max(octets) > 255:
@@ -154,7 +164,7 @@ def replace_values(text: str, one) -> tuple[str, list[str]]:
         if group == "sep":
             group = "dmy"
         kind = "date" if group in ("iso", "dmy") else group
-        bare, head = re.sub(r"[^A-Za-z0-9]", "", found), ""
+        bare = re.sub(r"[^A-Za-z0-9]", "", found)
         if kind == "email":
             new = one(kind, found[:-1])
         elif kind == "ipv4":
@@ -172,10 +182,15 @@ def replace_values(text: str, one) -> tuple[str, list[str]]:
                 a, b = (mth, d) if month_first else (d, mth)
                 new = sep.join((a, b, y) if len(first) == len(second) == 2 else (str(int(a)), str(int(b)), y))
         elif kind == "phone":
-            # The country code stays, so that the value stays a number of its country.
-            head = re.match(r"\+\d{1,3}(?=[ .-]|\()|\+\d|", found)[0]
-            bare = re.sub(r"\D", "", found[len(head) :])
-            new = one(kind, bare) if len(bare) >= 6 else None
+            # The country code stays, so that the value stays a number of its country, however it is written; (ddd) ddd-dddd is one of code 1.
+            digits = re.sub(r"\D", "", found)
+            code = country_code(digits) if found[0] == "+" else ""
+            value = digits[len(code) :]
+            new = one(kind, f"{code or '1'} {value}") if 7 <= len(digits) <= 15 and len(value) >= 4 else None
+            if new:
+                it = iter(code + new)
+                kinds.append(kind)
+                return "".join(next(it) if c.isdigit() else c for c in found)
         else:
             new = one(kind, bare)
         if not new:
@@ -183,7 +198,7 @@ def replace_values(text: str, one) -> tuple[str, list[str]]:
         kinds.append(kind)
         if kind == "email":
             return new + "@"
-        return new if kind in ("ipv4", "date") else head + _refilled(found[len(head) :], new)
+        return new if kind in ("ipv4", "date") else _refilled(found, new)
 
     return _FOUND.sub(swap, text), kinds
 
