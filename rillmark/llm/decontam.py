@@ -8,18 +8,19 @@ positions. All phrases are searched backwards at once; the hits are located by w
 with the bytes of the text, and merged to spans.
 
 Numbers 0 in a row are kept as one (their places are remembered): no phrase contains 0, so no hit is lost. Phrases are
-broadcast in blocks of at most PHRASE_BYTES of text; a larger benchmark takes one more pass for each block, each adding to
-the spans, with the same result.
+broadcast in blocks of at most PHRASE_BYTES of text (or of one item); a larger benchmark takes one more pass for each block,
+each adding to the spans of the written result of the last, with the same result. The driver holds one block at a time.
 
 Defined cases: null texts and texts without words have no words, no hits and are clean; equal items count each with its own
 item_id; items without words are no phrases; a null item_id is written as an empty string; repeated rows are each returned;
-an empty benchmark leaves all documents clean. Other columns of the documents pass through decontaminate() and
+an empty benchmark leaves all documents clean; an empty documents table gives an empty result. Other columns of the documents pass through decontaminate() and
 removed_spans() whatever they are called; mark() adds n_words, spans and items in place of columns of that name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.llm._shared import apart
+from rillmark.llm._shared import apart, written
 from rillmark.llm._tokens import NOT_ALNUM, Words, buffers, pieces
 
 WINDOW = 13
@@ -206,11 +207,12 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]
     """Items (as name and text) in blocks of at most limit bytes or one item; the driver holds one block at a time."""
     block, size = [], 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null").toLocalIterator():
-        block.append((row.item, row.text))
-        size += len(row.text.encode())
-        if size >= limit:
+        own = len(row.text.encode())
+        if block and size + own > limit:
             yield block
             block, size = [], 0
+        block.append((row.item, row.text))
+        size += own
     if block:
         yield block
 
@@ -220,7 +222,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     spans_type = T.ArrayType(T.ArrayType(T.LongType(), False), False)
     out = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("spans", F.array().cast(spans_type)).withColumn("items", F.array().cast("array<string>"))
     schema = out.schema
-    for block in [*_blocks(benchmark, PHRASE_BYTES)] or [[]]:
+    shared = None
+    for block in chain(_blocks(benchmark, PHRASE_BYTES), [[]]):
+        if shared is not None and not block:
+            break
+        if shared is not None:  # what the last block found is kept before the next is sent
+            out = written(out, "marked")
+            shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most PHRASE_BYTES
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
