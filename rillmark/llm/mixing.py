@@ -6,7 +6,7 @@
    mix is that line up to its target, so no document is taken more than twice; the line is cut into blocks of equal words.
 3. The exact block quotas go down a binary tree over the output shards. At each node all its blocks are ranked by a keyed
    hash and cut at the left child's share; the counts by source on the left are then a multivariate-hypergeometric draw.
-   The leaves hold disjoint blocks, and order hashes for the shuffle inside a shard.
+   The leaves hold disjoint blocks, whose documents are shuffled inside their shard by a keyed hash.
 
 Defined cases: a null text, or one without words, has size 0 and is never taken; a null source is a source of its own and
 the last; a null doc_id hashes as the empty string; equal rows are interchangeable; sources without words have target 0;
@@ -18,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.llm._shared import apart, cut, with_prefix
+from rillmark.llm._shared import apart, cut, shuffle_partitions, with_prefix
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks that the mix is cut into, besides one begun block for each source.
 BLOCKS = 4096
-#: Sources (a short row each) up to which their last keys are broadcast; more are joined by source.
-BROADCAST_SOURCES = 100_000
+#: Rows of block ends (about 100 bytes each) up to which they are broadcast; more are joined.
+BROADCAST_BLOCKS = 100_000
 
 
 def _key(seed: str, *parts: Column | str) -> Column:
@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...
 
 def mix_plan(docs: DataFrame, shards: int = 8, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
     """A row for each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, and for the first
-    and second time it is taken the output shard (shard_1, shard_2) and the place key inside it (place_1, place_2).
+    and second time it is taken the block of its source (block_1, block_2) and the output shard (shard_1, shard_2).
 
     The texts are read once; only narrow columns are shuffled. Documents are dealt by ranges of (source, hash), so a
     source with a third of all rows fills many partitions.
@@ -78,9 +78,8 @@ def mix_plan(docs: DataFrame, shards: int = 8, share: float = 1.5, weights: tupl
     for k in (1, 2):
         own = tree.select(F.col("source_no").alias(f"_no_{k}"), F.col("block").alias(f"_b_{k}"), F.col("shard").alias(f"shard_{k}"))
         placed = placed.join(own, (F.col("source_no") == F.col(f"_no_{k}")) & (F.col(f"_block_{k}") == F.col(f"_b_{k}")), "left")
-        placed = placed.withColumn(f"place_{k}", F.when(F.col(f"shard_{k}").isNotNull(), _key(f"{seed}:place:{k}", "doc_id")))
     times = F.col("shard_1").isNotNull().cast("long") + F.col("shard_2").isNotNull().cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "shard_1", "shard_2", "place_1", "place_2")
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), *[F.col(f"_block_{k}").alias(f"block_{k}") for k in (1, 2)], "shard_1", "shard_2")
 
 
 def split_tree(sources: DataFrame, shards: int = 8, seed: str = "mix") -> DataFrame:
@@ -98,23 +97,31 @@ def split_tree(sources: DataFrame, shards: int = 8, seed: str = "mix") -> DataFr
     return blocks
 
 
-def mix_documents(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
-    """docs with every row as often as the mix takes it (0, 1 or 2 times), shuffled by hash inside the partitions.
+def mix_documents(docs: DataFrame, shards: int = 8, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
+    """docs with every row as often as the mix takes it (0, 1 or 2 times), dealt by the tree's shards and shuffled inside them.
 
-    A source's mix is a range of its hash order, so the last key taken, one for each source and time, decides for a row:
-    the texts are joined to as many rows as there are sources. Rows that agree in doc_id and size
-    count as one.
+    A block of a source is a range of its hash order, so the last key of each block places a row: blocks are listed under
+    each beginning of a hash that they touch, and a row finds its own by source and beginning. There are as many rows of
+    blocks as the tree has, and one for each source and beginning; up to BROADCAST_BLOCKS they are broadcast, more are
+    joined. The texts are shuffled once, to the parts of the output shards, in which a keyed hash orders them. Rows that
+    agree in doc_id and size count as one.
     """
     key = ["_hash", "doc_id", "size"]
     inner, back = apart(docs, "doc_id", "text", "source")
-    plan = mix_plan(inner, share=share, weights=weights, seed=seed).withColumn("_hash", _key(seed, "doc_id"))
-    ends = plan.groupBy("source").agg(
-        *[F.max(F.when(F.col(f"shard_{k}").isNotNull(), F.struct(*key))).alias(f"_end_{k}") for k in (1, 2)],
-    ).withColumnRenamed("source", "_source")
-    rows = inner.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    own = F.struct(_key(seed, "doc_id").alias("_hash"), F.col("doc_id"), F.col("_size").alias("size"))
-    ends = cut(ends)
-    rows = rows.join(F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends, F.col("source").eqNullSafe(F.col("_source")))
-    times = sum((F.coalesce(own <= F.col(f"_end_{k}"), F.lit(False)) & (F.col("_size") > 0)).cast("int") for k in (1, 2))
-    rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
-    return back(rows)
+    plan = mix_plan(inner, shards, share, weights, seed).withColumn("_hash", _key(seed, "doc_id"))
+    taken = plan.select("source", F.struct(*key).alias("_own"), F.explode(F.array(*[F.struct(F.lit(k).alias("_copy"), F.col(f"block_{k}").alias("_block"), F.col(f"shard_{k}").alias("_shard")) for k in (1, 2)])).alias("_t")).select("source", "_own", "_t.*")
+    blocks = taken.where("_shard is not null").groupBy("source", "_copy", "_block", "_shard").agg(F.max("_own").alias("_end"))
+    # A block begins where the one before it ends, wherever its own first row lies, so that every row is in one.
+    before = F.lag("_end").over(Window.partitionBy("source", "_copy").orderBy("_block"))
+    blocks = blocks.withColumn("_after", before)
+    first, last = (F.conv(F.substring(F.coalesce(F.col(f"{c}._hash"), F.lit("00")), 1, 2), 16, 10).cast("int") for c in ("_after", "_end"))
+    blocks = cut(blocks.withColumn("_begins", F.explode(F.sequence(first, last))).withColumnRenamed("source", "_source"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = inner.withColumn("_hash", _key(seed, "doc_id")).withColumn("_own", F.struct("_hash", "doc_id", size.alias("size")))
+    near = F.conv(F.substring(F.col("_own._hash"), 1, 2), 16, 10).cast("int") == F.col("_begins")
+    inside = (F.col("_own") <= F.col("_end")) & (F.col("_after").isNull() | (F.col("_own") > F.col("_after"))) & (F.col("_own.size") > 0)
+    rows = rows.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks, near & F.col("source").eqNullSafe(F.col("_source")) & inside)
+    rows = rows.withColumn("_place", _key(f"{seed}:place", "_copy", "doc_id"))
+    parts = shuffle_partitions(docs.sparkSession)
+    dealt = rows.repartition(parts, "_shard", F.substring("_place", 1, 4)).sortWithinPartitions("_shard", "_place")
+    return back(dealt)
