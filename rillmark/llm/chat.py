@@ -18,45 +18,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark.llm._shared import written
+
 STRETCH = 1024
 #: ChatML: how a turn is rendered.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+#: A conversation and a stretch of its turns, without nulls, so that what follows one dealing keeps it.
+KEY = ["_known", "_id", "_stretch"]
+
+
 def turn_prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, k (turns up to this one) and s1..s4, which with k name the prefix that ends here."""
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("_stretch", F.floor(F.col("turn") / STRETCH))
-    inside = Window.partitionBy("conv_id", "_stretch").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("conv_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("conv_id", "_stretch").agg(F.count("*").alias("_n"))
+    """_known and _id (the conversation), k (turns up to this one) and s1..s4, which with k name the prefix that ends here.
+
+    Role and text are dealt once, to put the turns in order; from then on only their hashes travel.
+    """
+    turn = F.col("turn").cast("long")
+    rows = turns.select(
+        F.col("conv_id").isNotNull().alias("_known"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("_id"),
+        F.coalesce(F.floor(turn / STRETCH).cast("long"), F.lit(-(1 << 62))).alias("_stretch"), turn.alias("turn"), "role", "text",
+        *[F.xxhash64(F.lit(seed), F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias(f"_m{seed}") for seed in (1, 2)],
+    )
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("turn", "role", "text"))
+    rows = rows.withColumn("_k", nth.cast("long")).select(*KEY, "_k", "_m1", "_m2")
+    earlier = Window.partitionBy("_known", "_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*KEY).agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    same = lambda x, y: (x["conv_id"].eqNullSafe(y["conv_id"])) & (x["_stretch"].eqNullSafe(y["_stretch"]))
-    rows = rows.join(counts, same(rows, counts)).drop(counts["conv_id"], counts["_stretch"])
-    rows = rows.withColumn("k", F.col("_before") + F.count("*").over(inside)).drop("_before")
-    # Each hash in two halves, so that sums of up to 2^31 turns stay exact.
-    marks = [F.xxhash64(F.lit(seed), "k", F.col("role").isNull(), "role", F.col("text").isNull(), "text") for seed in (1, 2)]
+    rows = rows.join(counts, KEY).withColumn("k", F.col("_before") + F.col("_k"))
+    # Each hash of place and content in two halves, so that sums of up to 2^31 turns stay exact.
+    marks = [F.xxhash64(F.lit(seed), "k", f"_m{seed}") for seed in (1, 2)]
     halves = [x for mark in marks for x in (F.shiftrightunsigned(mark, 32), mark.bitwiseAND(F.lit(0xFFFFFFFF)))]
-    for i, half in enumerate(halves):
-        rows = rows.withColumn(f"_h{i}", half)
-    totals = rows.groupBy("conv_id", "_stretch").agg(*[F.sum(f"_h{i}").alias(f"_t{i}") for i in range(4)])
-    totals = totals.select("conv_id", "_stretch", *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_b{i}") for i in range(4)])
-    rows = rows.join(totals, same(rows, totals)).drop(totals["conv_id"], totals["_stretch"])
-    for i in range(4):
-        rows = rows.withColumn(f"s{i + 1}", F.col(f"_b{i}") + F.sum(f"_h{i}").over(inside))
-    return rows.select("conv_id", "turn", "role", "text", "k", "s1", "s2", "s3", "s4")
+    rows = rows.select(*KEY, "_k", "k", *[half.alias(f"_h{i}") for i, half in enumerate(halves)])
+    totals = rows.groupBy(*KEY).agg(*[F.sum(f"_h{i}").alias(f"_t{i}") for i in range(4)])
+    totals = totals.select(*KEY, *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_b{i}") for i in range(4)])
+    inside = Window.partitionBy(*KEY).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(totals, KEY)
+    return rows.select("_known", "_id", "k", *[(F.col(f"_b{i}") + F.sum(f"_h{i}").over(inside)).alias(f"s{i + 1}") for i in range(4)])
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id and n_turns of each conversation that is no prefix of another."""
-    name = ["k", "s1", "s2", "s3", "s4"]
-    prefixes = turn_prefixes(turns).select("conv_id", *name)
-    whole = prefixes.groupBy("conv_id").agg(F.max(F.struct(*name)).alias("w")).select("conv_id", "w.*")
+    name, who = ["k", "s1", "s2", "s3", "s4"], ["_known", "_id"]
+    prefixes = written(turn_prefixes(turns), "prefixes")
+    whole = prefixes.groupBy(*who).agg(F.max(F.struct(*name)).alias("w")).select(*who, "w.*")
     # Of equal conversations the first; a name that very many share is reduced before the shuffle.
-    first = whole.groupBy(*name).agg(F.min(F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id")).alias("f")).select("f.conv_id", *name)
-    # conv_id and k of all rows that end no conversation: the proper prefixes.
-    ends = whole.select(F.col("conv_id").alias("_c"), F.col("k").alias("_k"))
-    proper = prefixes.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("k") < F.col("_k"))).select(*name).distinct()
-    return first.join(proper, name, "left_anti").select("conv_id", F.col("k").alias("n_turns"))
+    first = whole.groupBy(*name).agg(F.min(F.struct(*who)).alias("f")).select("f.*", *name)
+    # The names of all rows that end no conversation: the proper prefixes.
+    proper = prefixes.join(whole.select(*who, F.col("k").alias("_k")), who).where("k < _k").select(*name).distinct()
+    kept = first.join(proper, name, "left_anti")
+    return kept.select(F.when(F.col("_known"), F.col("_id")).alias("conv_id"), F.col("k").alias("n_turns"))
 
 
 def render(turns: DataFrame, chosen: DataFrame) -> DataFrame:
