@@ -10,7 +10,7 @@ version line, a length that fits and, if it has a payload digest, a payload of t
 searches on for the next gzip header or version line at which a record passes all checks, and reports the bytes in between as
 a gap.
 
-Defined cases: a null html is an empty payload; a null url leaves its header out; a null page_id is written as an empty
+Defined cases: an empty table gives no rows; very long payloads and urls are one record; a null html is an empty payload; a null url leaves its header out; a null page_id is written as an empty
 number and read back as null, it sorts first; of rows with equal page_id and payload one is the response; other columns of
 pages are not read.
 """
@@ -29,11 +29,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.llm._shared import cut, shared_dir
+from rillmark.llm._tokens import pieces
 
 VERSION = b"WARC/1.0"
 GZIP = b"\x1f\x8b\x08"
 #: RFC 4648 base 32 in the order of its digits.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Revisit records name the rule by which they are copies.
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+#: Bytes of a file after which a next one is begun, and bytes that are inflated at a time.
+FILE_BYTES, CHUNK = 64 << 20, 1 << 16
 RECORDS = "archive string, position long, length long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, gap boolean, reason string"
 
 
@@ -59,19 +64,20 @@ def classify(pages: DataFrame) -> DataFrame:
     first = cut(first.where("_copies > 1").select(*key, "_first"))
     rows = rows.join(first, key, "left")
     again = F.col("_first").isNotNull() & (F.col("_first._row") != F.col("_row"))
-    return rows.select("page_id", "url", "payload", *key, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first.page_id")).alias("refers_to"))
+    kind = F.when(again, "revisit").otherwise("response").alias("record_type")
+    return rows.select("page_id", "url", "payload", *key, "_row", kind, F.when(again, F.col("_first.page_id")).alias("refers_to"), F.when(again, F.col("_first._row")).alias("_refers_row"))
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    """One record: headers, blank line, block, two line ends."""
-    name = lambda x: "" if x is None else str(x)
+def record_bytes(page_id, url, payload: bytes, digest: str, kind: str, refers_to, row: int = 0, refers_row: int | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One record: headers, blank line, block, two line ends. A record's id is the page's and the number of its row, as pages may be repeated."""
+    name = lambda x, k: f"<urn:page:{'' if x is None else x}:{k or 0}>"
     block = payload if kind == "response" else b""
-    lines = [VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name(page_id)}>"]
+    lines = [VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id, row)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url))
     if kind == "revisit":
-        lines.append(f"WARC-Refers-To: <urn:page:{name(refers_to)}>")
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}", f"Content-Length: {len(block)}", "", ""]
+        lines += [f"WARC-Refers-To: {name(refers_to, refers_row)}", f"WARC-Profile: {PROFILE}"]
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
@@ -85,19 +91,25 @@ def member(record: bytes) -> bytes:
     return out
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 4000) -> None:
-    """Writes classified pages as .warc.gz bytes (Spark names the files .txt) under path."""
+def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Writes classified pages as .warc.gz bytes (Spark names the files .txt) under path, in files of about FILE_BYTES or of one record. date is the time of the crawl, which pages don't tell."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, size = 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256).to_pylist()
-                made = [member(record_bytes(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["record_type"], r["refers_to"]))[:-1] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
+            for part in pieces(batch, ["payload"], 4 << 20):
+                made, files = [], []
+                for r in part.to_pylist():
+                    made.append(member(record_bytes(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["record_type"], r["refers_to"], r["_row"], r["_refers_row"], date))[:-1])
+                    if size and size + len(made[-1]) > FILE_BYTES:
+                        file, size = file + 1, 0
+                    size += len(made[-1]) + 1
+                    files.append(file)
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(made, pa.binary())], names=["file", "member"])
 
-    rows = classify(pages).select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
-    lines = rows.mapInArrow(pack, "member binary").select(F.col("member").cast("string").alias("value"))
-    lines.write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(path)
+    rows = classify(pages).select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "_row", "_refers_row")
+    lines = rows.mapInArrow(pack, "file int, member binary").select("file", F.col("member").cast("string").alias("value"))
+    lines.write.option("lineSep", "\x00").partitionBy("file").text(path)
 
 
 def parse_record(data: bytes) -> tuple[dict, int] | str:
@@ -126,7 +138,7 @@ def parse_record(data: bytes) -> tuple[dict, int] | str:
     kind, digest = headers.get("warc-type", ""), headers.get("warc-payload-digest", "").removeprefix("sha1:")
     if kind == "response" and digest and b32encode(hashlib.sha1(block).digest()).decode() != digest:
         return "payload digest differs"
-    number = lambda h: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", headers.get(h, ""))) else None
+    number = lambda h: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)(?::\d+)?>", headers.get(h, ""))) else None
     length = headers.get("warc-payload-length", "")
     return {
         "page_id": number("warc-record-id"), "url": headers.get("warc-target-uri"), "record_type": kind, "refers_to": number("warc-refers-to"),
@@ -139,13 +151,16 @@ def _at(data: memoryview, at: int) -> tuple[list[dict], int] | str:
     if data[at : at + 3] != GZIP:
         found = parse_record(bytes(data[at:]) if len(data) - at < 1 << 16 else _plain(data, at))
         return found if isinstance(found, str) else ([found[0]], at + found[1])
-    unpack = zlib.decompressobj(31)
+    unpack, parts, k = zlib.decompressobj(31), [], at
     try:
-        inner = unpack.decompress(data[at:]) + unpack.flush()
+        while k < len(data) and not unpack.eof:
+            parts.append(unpack.decompress(data[k : k + CHUNK]))
+            k += CHUNK
     except zlib.error:
         return "member does not inflate"
     if not unpack.eof:
         return "member is cut short"
+    inner, end = b"".join(parts), min(k, len(data)) - len(unpack.unused_data)
     records, k = [], 0
     while k < len(inner):
         found = parse_record(inner[k:] if k else inner)
@@ -153,7 +168,7 @@ def _at(data: memoryview, at: int) -> tuple[list[dict], int] | str:
             return found
         records.append(found[0])
         k += found[1]
-    return records, len(data) - len(unpack.unused_data)
+    return records, end
 
 
 def _plain(data: memoryview, at: int) -> bytes:
@@ -191,7 +206,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, list[dict], str]]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record under path, and a row with gap = true for each quarantined stretch of bytes. A file is read whole by one task; write_archives bounds their size."""
+    """Every record under path, and a row with gap = true for each quarantined stretch of bytes. A file is read whole by one task; write_archives bounds their size, and Spark refuses files of more than 2 GB."""
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
