@@ -13,12 +13,14 @@ v (p - q) <= 0, so u (p - q) <= |u - v| |p - q|: u visits those cells q where th
 one visits the other.) A cell's task holds who lives there, streams the visitors past, and keeps a spanning forest of the
 pairs whose components differ. No pair is left out; a label without structure costs as many products as it has pairs.
 
-The links inside a component are then counted exactly: its members are dealt into blocks of about TILE, and each pair of
-blocks is one task's matrix product that returns a count for each vector, never the pairs.
+The links inside a component are then counted exactly: its distinct vectors are dealt into blocks of about TILE, and each pair
+of blocks is one matrix product that returns, for each of them, how many rows the linked ones stand for, never the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link
 with nothing; vectors of other length than their partner do not link; rows with the same vec_id are one node, each with its
-own count; a null vec_id links with nothing. Other columns are not read.
+own count, in which rows of the same vec_id with an equal vector don't count and those with another linked vector do; a null
+vec_id links with nothing; double components stay double, others are read as float; an empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,36 +169,64 @@ def _cells(cosine: float):
     return compare
 
 
+#: Names a tile; the mark of the label is in it, as a component that repeated vec_ids join may reach into several labels.
+TILE_KEY = ["mark", "component", "low", "high"]
+
+
 def _tile(cosine: float):
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = pdf["block"] == pdf["low"].iloc[0], pdf["block"] == pdf["high"].iloc[0]
-        mine, other = pdf[low], pdf[high]
-        counts = []
-        for n in set(pdf["embedding"].map(len)):
-            a, b = mine[mine["embedding"].map(len) == n], other[other["embedding"].map(len) == n]
-            if len(a) and len(b):
-                x, y = (np.stack(part["embedding"].to_numpy()).astype(np.float64) for part in (a, b))
-                near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T >= cosine
-                near &= a["vec_id"].to_numpy()[:, None] != b["vec_id"].to_numpy()[None, :]
-                counts.append(pd.DataFrame({"_row": a["_row"].to_numpy(), "found": near.sum(axis=1)}))
-                if low.iloc[0] != high.iloc[0] or pdf["low"].iloc[0] != pdf["high"].iloc[0]:
-                    counts.append(pd.DataFrame({"_row": b["_row"].to_numpy(), "found": near.sum(axis=0)}))
-        return pd.concat(counts) if counts else pd.DataFrame({"_row": pd.Series(dtype="int64"), "found": pd.Series(dtype="int64")})
+    """For rows sorted by tile: for each class of equal vectors how many rows of linked classes its tile holds."""
+
+    def matrix(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _matrix(rows.column("embedding")), rows.column("_class").to_numpy(), rows.column("copies").to_numpy()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+
+        def counted(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            keys = np.stack([rows.column(c).to_numpy() for c in TILE_KEY])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])).tolist()
+            who, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, stop in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+                for tile in _by_length(rows.slice(at, stop - at)):
+                    block, low, high = (tile.column(c).to_numpy() for c in ("block", "low", "high"))
+                    x, own_x, copies_x = matrix(tile.filter(pa.array(block == low)))
+                    if low[0] == high[0]:
+                        who.append(own_x), found.append((x @ x.T >= cosine) @ copies_x)
+                    elif 0 < len(x) < tile.num_rows:
+                        y, own_y, copies_y = matrix(tile.filter(pa.array(block == high)))
+                        near = x @ y.T >= cosine
+                        who += [own_x, own_y]
+                        found += [near @ copies_y, copies_x @ near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in (who, found)], names=["_class", "found"])
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                last = np.stack([rows.column(c).to_numpy() for c in TILE_KEY])
+                cut_at = int(np.argmax((last == last[:, -1:]).all(axis=0)))  # the last tile may go on in the next batch
+                if cut_at:
+                    yield from counted(rows.slice(0, cut_at))
+                held = rows.slice(cut_at)
+        if held is not None:
+            yield from counted(held)
 
     return count
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding, label)."""
-    rows = written(vectors.select("vec_id", F.col("embedding").cast("array<float>"), "label").withColumn("_row", F.monotonically_increasing_id()), "vectors")
+    array = "array<double>" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "array<float>"
+    rows = written(vectors.select("vec_id", F.col("embedding").cast(array), "label").withColumn("_row", F.monotonically_increasing_id()), "vectors")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = rows.where("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0").where(finite & F.exists("embedding", lambda x: x != 0))
     kind, parts = rows.schema["label"].dataType.simpleString(), 2 * shuffle_partitions(rows.sparkSession)
-    alone = written(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "distinct-vectors")
-    first = alone.where("copies > 1").select("label", "embedding", F.col("vec_id").alias("a"))
-    copies = good.join(first, ["label", "embedding"]).select("a", F.col("vec_id").alias("b")).where("a <> b")
-    alone = alone.drop("copies")
-    passes = alone.select("label", "vec_id", "embedding").mapInArrow(_projected, f"pass int, label {kind}, key long, vec_id long, embedding array<float>")
+    classes = written(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.min("_row").alias("_class"), F.count("*").alias("copies")), "distinct-vectors")
+    first = written(classes.where("copies > 1").select("label", "embedding", F.col("vec_id").alias("a"), F.col("_class").alias("_of")), "repeated-vectors")
+    of_row = good.join(first, ["label", "embedding"], "left").select("vec_id", "_row", "a", F.coalesce("_of", "_row").alias("_class"))
+    of_row = written(of_row, "classes-of-vectors")
+    copies = of_row.where("a <> vec_id").select("a", F.col("vec_id").alias("b"))
+    alone = classes.select("label", "embedding", "vec_id")
+    passes = alone.select("label", "vec_id", "embedding").mapInArrow(_projected, f"pass int, label {kind}, key long, vec_id long, embedding {array}")
     order = ["pass", "label", "key", "_tie"]
     dealt = passes.withColumn("_tie", F.xxhash64("pass", "vec_id")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     links = cut(dealt.select("pass", "label", "vec_id", "embedding").mapInArrow(_windows(cosine), "a long, b long").unionByName(copies).distinct())
@@ -206,19 +235,22 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     for r in alone.where(F.pmod(F.xxhash64("label", "embedding"), F.lit(CELL)) == 0).select("label", "embedding").collect():
         pivots.setdefault((r.label, len(r.embedding)), []).append(np.array(r.embedding) / np.linalg.norm(r.embedding))
     known = alone.join(named.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("label", "vec_id", F.coalesce("component", "vec_id").alias("component"), "embedding")
-    placed = known.mapInArrow(_placed(cosine, {k: np.stack(v) for k, v in pivots.items()}), f"n int, cell int, visits int, label {kind}, vec_id long, component long, embedding array<float>")
+    placed = known.mapInArrow(_placed(cosine, {k: np.stack(v) for k, v in pivots.items()}), f"n int, cell int, visits int, label {kind}, vec_id long, component long, embedding {array}")
     cell = ["label", "n", "cell"]
     more = cut(placed.repartition(parts, *cell).sortWithinPartitions(*cell, "visits").mapInArrow(_cells(cosine), "a long, b long").distinct())
     if not more.isEmpty():
         named = cut(components(more.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-    members = good.join(named.withColumnRenamed("node", "vec_id"), "vec_id")
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("_row"), F.col("blocks")).cast("int"))
+    # The links inside a component, counted over its distinct vectors of a label.
+    members = written(classes.join(named.withColumnRenamed("node", "vec_id"), "vec_id"), "members")
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")).where("blocks > 1")
+    members = members.join(written(sizes, "large-components"), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("block", F.pmod(F.xxhash64("_class"), F.col("blocks")).cast("int"))
     tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "_row", "vec_id", "embedding")
-    counts = tiles.groupBy("component", "low", "high").applyInPandas(_tile(cosine), "_row long, found long").groupBy("_row").agg(F.sum("found").alias("n_links"))
-    out = rows.select("vec_id", "_row").join(counts, "_row", "left").join(named.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    tiles = tiles.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "_class", "copies", "embedding", F.xxhash64("label").alias("mark"))
+    tiles = tiles.repartition(parts, *TILE_KEY).sortWithinPartitions(*TILE_KEY)
+    counts = tiles.mapInArrow(_tile(cosine), "_class long, found long").groupBy("_class").agg(F.sum("found").alias("found"))
+    own = of_row.where("a is not null").groupBy("_class", "vec_id").agg(F.count("*").alias("same"))  # rows with this vector and this vec_id
+    counted = of_row.join(counts, "_class").join(own, ["_class", "vec_id"], "left").select("_row", (F.col("found") - F.coalesce("same", F.lit(1))).alias("n_links"))
+    out = rows.select("vec_id", "_row").join(counted, "_row", "left").join(named.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-
-
