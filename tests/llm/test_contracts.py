@@ -107,17 +107,72 @@ def test_op8(spark):
     assert sum(pairs) / len(pairs) > 0.97
 
 
+def shingle_links(docs):
+    sets = {}
+    for d in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(d.text))
+        sets[d.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    ids = sorted(sets)
+    return components([(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])], ids)
+
+
 def test_pipeline(spark, sf_dir):
+    """Each stage's rows against brute force, or against the operator's own decisions where a model makes them."""
+    from collections import Counter
+
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, before = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
         out = stage(spark, docs, sf_dir)
-        ids = [r.doc_id for r in out.select("doc_id").collect()]
-        assert set(ids) <= before
-        if name == "sharding":
-            assert len(ids) == docs.count()
+        rows = out.collect()
+        ids = Counter(r.doc_id for r in rows)
+        if name == "quality":
+            scored = {r.doc_id: r.predicted for r in QUERIES["op8_quality"](spark, sf_dir).collect()}
+            want = Counter(r.doc_id for r in before if scored[r.doc_id])
+            good = [r.doc_id for r in before if r.doc_id in labels and labels[r.doc_id].quality == 1]
+            assert sum(k in ids for k in good) >= 0.95 * len(good)
+        elif name == "near_dedup":
+            want = Counter(k for k, c in shingle_links(before).items() if k == c)
+        elif name == "decontamination":
+            hit = {r.doc_id for r in QUERIES["op6_decontaminate"](spark, sf_dir).collect() if r.contaminated}
+            want = Counter(r.doc_id for r in before if r.doc_id not in hit)
+            assert hit & {r.doc_id for r in before}
+        elif name == "mixing":
+            words = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+            sizes, of = Counter(), {r.doc_id: r for r in before}
+            for r in before:
+                sizes[r.source] += words(r)
+            order = sorted(sizes, key=lambda x: (x is None, x or ""))
+            weight = {x: (5, 2, 1)[k % 3] for k, x in enumerate(order)}
+            left, target, open_to = 1.5 * sum(sizes.values()), {}, set(order)
+            while True:
+                level = left / sum(weight[x] for x in open_to)
+                over = {x for x in open_to if weight[x] * level > 2 * sizes[x]}
+                if not over:
+                    break
+                target |= {x: 2 * sizes[x] for x in over}
+                left, open_to = left - sum(2 * sizes[x] for x in over), open_to - over
+            target |= {x: weight[x] * level for x in open_to}
+            taken, most = Counter(), Counter()
+            for k, n in ids.items():
+                taken[of[k].source] += n * words(of[k])
+            for r in before:
+                most[r.source] = max(most[r.source], words(r))
+            assert max(ids.values()) <= 2 and all(abs(taken[x] - target[x]) <= most[x] for x in order)
+            want = ids
         else:
+            want, total, upto, place = Counter(r.doc_id for r in before), sum(len((r.text or "").encode()) + 1 for r in before), 0, Counter()
+            for r in sorted(rows, key=lambda r: (r.shard, r.slot)):
+                assert r.shard == (2 * upto + r["size"]) * 8 // (2 * total) and r.slot == place[r.shard]
+                upto += r["size"]
+                place[r.shard] += 1
+        assert ids == want, name
+        if name != "sharding":
             assert out.columns == columns
-            before, docs = set(ids), out
+            by = {r.doc_id: r for r in before}
+            assert all(r == by[r.doc_id] for r in rows)
+            docs = corpus_pipeline.written(out, "test")
