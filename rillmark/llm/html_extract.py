@@ -25,8 +25,10 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Callable, Container, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from itertools import accumulate
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,6 +72,12 @@ def node_key(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), signed=True)
 
 
+@lru_cache(1 << 16)
+def _path(parent: int, label: str) -> int:
+    return node_key(f"{parent}>{label}")
+
+
+@lru_cache(1 << 14)
 def _names_noise(label: str, article: bool) -> bool:
     """Whether one of the classes and ids is a name of noise, alone or with names of containers and numbers."""
     known = NOISE_ARTICLES if article else NOISE_NAMES
@@ -89,7 +97,7 @@ class Element:
         self.tag, self.parent, self.children, self.depth, self.low, self.high, self.holds = tag, parent, [], 0, 1 << 60, 0, False
         label, role = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower(), attributes.get("role")
         self.marked = bool(label.strip() or role)
-        self.path = node_key(f"{parent.path if parent else 0}>{tag}" + ("." + ".".join(sorted(label.split())) if self.marked else ""))
+        self.path = _path(parent.path if parent else 0, tag + "." + ".".join(sorted(label.split())) if self.marked else tag)
         inside = parent is not None and parent.article
         self.main = tag in ("article", "main") or role in ("main", "article")
         self.article = inside or self.main
@@ -196,14 +204,18 @@ def parse(html: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
     return elements, texts
 
 
-def _contents(texts: list[tuple[Element, str, int]]) -> Callable[[Element], int]:
-    """For an element a number that is equal where the words that it holds are."""
+def _contents(texts: list[tuple[Element, str, int]], of: list[Element]) -> Callable[[Element], int]:
+    """For one of these elements a number that is equal where the words that it holds are. Only texts inside them are read."""
     prime, base = (1 << 61) - 1, 1_000_003
-    sums, counts = [0], [0]
-    for _, text, _ in texts:
-        value, words = sums[-1], text.split()
+    sums, counts, change = [0], [0], [0] * (len(texts) + 1)
+    for e in of:
+        if e.high:
+            change[e.low] += 1
+            change[e.high] -= 1
+    for (_, text, _), inside in zip(texts, accumulate(change)):
+        value, words = sums[-1], text.split() if inside else ()
         for word in words:
-            value = (value * base + node_key(word)) % prime
+            value = (value * base + (crc32(word.encode("utf-8", "replace")) << 8) + len(word)) % prime
         sums.append(value)
         counts.append(counts[-1] + len(words))
     return lambda e: (sums[e.high] - sums[e.low] * pow(base, counts[e.high] - counts[e.low], prime)) % prime if e.high else 0
@@ -251,10 +263,11 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages = dict(zip(zip(batch.column("host").to_pylist(), batch.column("digest").to_pylist(), strict=True), batch.column("html").to_pylist(), strict=True))
         for (host, digest), html in pages.items():
             elements, texts = parse(html)
-            says_of = _contents(texts)
+            own = list(branches(elements))
+            says_of = _contents(texts, own)
             seen = set()
             found: dict[tuple, list[int]] = {}
-            for e in branches(elements):
+            for e in own:
                 look = node_key(">".join(map(str, dict.fromkeys(c.path for c in e.children))))
                 row = found.setdefault((e.path, look, says_of(e)), [0, 0, 0])
                 row[0], row[1], row[2] = max(row[0], e.depth), row[1] + (e.path not in seen), row[2] + 1
