@@ -143,6 +143,44 @@ def redacted_url(url: Column) -> Column:
     return F.regexp_replace(url, r"(://)[^/@]*@", "$1***@")
 
 
+def rtcp_packets(data: Column) -> Column:
+    """The packets of a compound control datagram: at, type, count, bytes, ssrc and, of sender reports (type 200), ntp_sec, ntp_frac and rtp_ts. Null if it isn't made of whole packets of version 2 or doesn't begin with a report."""
+    text, size = F.hex(data), F.octet_length(data)
+    number = lambda at, n: F.conv(F.substring(text, 2 * at + 1, F.lit(2 * n)), 16, 10).cast("long")
+    empty = F.array().cast("array<struct<at:int,type:long,count:long,bytes:long,ssrc:long,ntp_sec:long,ntp_frac:long,rtp_ts:long>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("good"), empty.alias("out"))
+
+    def one(state: Column, _: Column) -> Column:
+        at = state["at"]
+        head, kind = number(at, 1), number(at + 1, 1)
+        length = (number(at + 2, 2) + 1) * 4
+        good = (at + 8 <= size) & (F.shiftright(head, 6) == 2) & (at + length <= size) & ((kind != 200) | (length >= 28))
+        report = lambda k: F.when(kind == 200, number(at + k, 4))
+        packet = F.struct(at.alias("at"), kind.alias("type"), head.bitwiseAND(F.lit(31)).alias("count"), length.alias("bytes"), number(at + 4, 4).alias("ssrc"), report(8).alias("ntp_sec"), report(12).alias("ntp_frac"), report(16).alias("rtp_ts"))
+        found = F.struct((at + length).cast("int").alias("at"), F.lit(True).alias("good"), F.concat(state["out"], F.array(packet)).alias("out"))
+        bad = F.struct(at.alias("at"), F.lit(False).alias("good"), state["out"].alias("out"))
+        return F.when(~state["good"] | (at >= size), state).when(good, found).otherwise(bad)
+
+    done = F.aggregate(F.sequence(F.lit(1), F.expr("1") + F.floor(size / 8).cast("int")), start, one)
+    reports = F.element_at(F.transform(done["out"], lambda x: x["type"]), 1).isin(200, 201)
+    return F.when(done["good"] & (F.size(done["out"]) > 0), F.when(reports, done["out"]))
+
+
+def ntp_nanoseconds(seconds: Column, fraction: Column) -> Column:
+    """A 64-bit clock value in nanoseconds, cut."""
+    return seconds * 1_000_000_000 + F.shiftrightunsigned(fraction * 1_000_000_000, 32)
+
+
+def base64_text(data: Column) -> Column:
+    """Bytes in base 64, on one line."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
+def valid_utf8(data: Column) -> Column:
+    """Whether bytes are UTF-8 text."""
+    return F.is_valid_utf8(data.cast("string"))
+
+
 #: Names of rate-control modes and their aliases.
 RATE_MODES = {"auto": "auto", "": "auto", "cbr": "cbr", "vbr": "vbr", "cvbr": "cvbr", "capped_vbr": "cvbr", "capped-vbr": "cvbr", "crf": "crf"}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,26 @@ def high_water(changes: DataFrame) -> DataFrame:
     return rows.groupBy("ledger_id").agg(F.max("_b").alias("high_bytes"), F.max("_o").alias("high_objects"), F.sum("delta_bytes").alias("left_bytes"))
 
 
-def admission(changes: DataFrame, max_bytes: int, max_objects: int) -> DataFrame:
-    """Whether each reservation would stay inside both limits if all before it had been admitted."""
-    w = Window.partitionBy("ledger_id").orderBy("at", "delta_bytes", "sequence").rowsBetween(Window.unboundedPreceding, 0)
-    fits = (F.sum("delta_bytes").over(w) <= max_bytes) & (F.sum("delta_objects").over(w) <= max_objects)
-    return changes.withColumn("verdict", F.when(F.col("delta_bytes") <= 0, "release").when(fits, "granted").otherwise("pressure"))
+def reservation_counts(verdicts: DataFrame) -> DataFrame:
+    """Of each ledger (ledger_id, verdict, delta_bytes, delta_objects) what was granted and released, and how often it was under pressure."""
+    granted, gave = F.col("verdict") == "granted", F.col("verdict") == "release"
+    return verdicts.groupBy("ledger_id").agg(
+        F.count_if(granted).alias("reservations"), F.count_if(gave).alias("releases"), F.count_if(F.col("verdict") == "pressure").alias("pressure"),
+        F.sum(F.when(granted, F.col("delta_bytes")).otherwise(0)).alias("reserved_bytes"), F.sum(F.when(gave, -F.col("delta_bytes")).otherwise(0)).alias("released_bytes"),
+    )
+
+
+def roll_up(branches: list[DataFrame]) -> DataFrame:
+    """Totals of each output over all its branches (output, bytes, packets, errors, at): sums, the branches, the last time."""
+    rows = reduce(DataFrame.unionByName, [b.withColumn("branch", F.lit(k)) for k, b in enumerate(branches)])
+    return rows.groupBy("output").agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.sum("errors").alias("errors"), F.countDistinct("branch").alias("branches"), F.max("at").alias("last_at"))
+
+
+def skew_percentiles(rows: DataFrame, p95_limit: int, p99_limit: int) -> DataFrame:
+    """Exact 95th and 99th percentiles of the absolute skew of each stream, and whether both stay within their limits."""
+    size = F.abs("skew").cast("double")
+    out = rows.groupBy("stream_id").agg(F.percentile(size, F.lit(0.95)).alias("p95"), F.percentile(size, F.lit(0.99)).alias("p99"))
+    return out.withColumn("within", (F.col("p95") <= p95_limit) & (F.col("p99") <= p99_limit))
 
 
 def backpressure(queues: DataFrame) -> DataFrame:

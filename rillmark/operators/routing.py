@@ -40,12 +40,12 @@ def start_gate(units: DataFrame) -> DataFrame:
     return units.withColumn("_open", F.max("key_frame").over(w)).where("_open").drop("_open")
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, time: str, begin: str, end: str, bucket: int) -> DataFrame:
-    """points with every interval [begin, end) that holds their time. Intervals are listed under each bucket of time they touch, so the join is on equality and is dealt by bucket."""
+def interval_join(points: DataFrame, intervals: DataFrame, time: str, begin: str, end: str, bucket: int, how: str = "inner") -> DataFrame:
+    """points with every interval [begin, end) that holds their time (how: inner, or left to keep points in none). Intervals are listed under each bucket of time they touch, so the join is on equality and is dealt by bucket."""
     spread = intervals.withColumn("_bucket", F.explode(F.sequence(F.expr(f"floor({begin} / {bucket})"), F.expr(f"floor(({end} - 1) / {bucket})"))))
     own = points.withColumn("_bucket", F.expr(f"floor({time} / {bucket})"))
-    joined = own.join(spread, "_bucket")
-    return joined.where((F.col(time) >= F.col(begin)) & (F.col(time) < F.col(end))).drop("_bucket")
+    inside = (own["_bucket"] == spread["_bucket"]) & (own[time] >= spread[begin]) & (own[time] < spread[end])
+    return own.join(spread, inside, how).drop("_bucket")
 
 
 def late_subscription(units: DataFrame, subscriptions: DataFrame, bucket: int) -> DataFrame:
@@ -56,9 +56,9 @@ def late_subscription(units: DataFrame, subscriptions: DataFrame, bucket: int) -
 
 
 def epoch_gate(units: DataFrame, epochs: DataFrame, bucket: int) -> DataFrame:
-    """Adds verdict by the epoch (epoch_generation, begins, ends) in force: pass, drop (stale generation) or withhold (a future one)."""
-    own = interval_join(units, epochs, "pts", "begins", "ends", bucket)
-    verdict = F.when(F.col("generation") < F.col("epoch_generation"), "drop").when(F.col("generation") > F.col("epoch_generation"), "withhold").otherwise("pass")
+    """Adds verdict by the epoch (epoch_generation, begins, ends) in force: pass, drop (stale generation) or withhold (a future one, or no epoch)."""
+    own = interval_join(units, epochs, "pts", "begins", "ends", bucket, "left")
+    verdict = F.when(F.col("generation") < F.col("epoch_generation"), "drop").when(F.col("generation") == F.col("epoch_generation"), "pass").otherwise("withhold")
     return own.withColumn("verdict", verdict).drop("begins", "ends")
 
 
@@ -66,3 +66,12 @@ def format_contract(units: DataFrame, columns: list[str]) -> DataFrame:
     """Streams that change what must not change: stream_id and the number of distinct combinations."""
     rows = units.select("stream_id", *columns).distinct().groupBy("stream_id").agg(F.count("*").alias("formats"))
     return rows.where("formats > 1")
+
+
+#: The kinds of records that each set of streams has.
+STREAM_SETS = {"AudioVideo": ("audio", "video"), "VideoOnly": ("video",)}
+
+
+def stream_set(units: DataFrame, name: str, media: Column) -> DataFrame:
+    """The records whose medium (media: a column of audio, video or others) is in the named set."""
+    return units.where(media.isin(*STREAM_SETS[name]))

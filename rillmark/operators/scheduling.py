@@ -10,11 +10,21 @@ EARLY, LATE, DROP, HARD, BUDGET = 20_000, 40_000, 80_000, 250_000, 5
 
 
 def ordered_merge(units: DataFrame) -> DataFrame:
-    """Two sides (side 0 and 1) of each stream in one line: older generation first, then the earlier dispatch, ties in turn; adds position."""
-    turn = F.row_number().over(Window.partitionBy("stream_id", "generation", "dispatch", "side").orderBy("sequence"))
-    rows = units.withColumn("_turn", turn)
-    w = Window.partitionBy("stream_id").orderBy("generation", "dispatch", "_turn", "side", "sequence")
-    return rows.withColumn("position", F.row_number().over(w)).drop("_turn")
+    """Two sides (side 0 and 1) of each stream in one line: older generation first, then the earlier dispatch; adds position.
+
+    At equal times the side goes that was not emitted last, side 0 at a generation's start. Among records of one time the
+    sides take turns until one has no more, so the side with more of them is last, and equal numbers leave the last as it was:
+    the first of a time is the other side of the last time before at which the numbers differ.
+    """
+    key = ["stream_id", "generation", "dispatch"]
+    counts = units.groupBy(*key).agg(F.count_if(F.col("side") == 0).alias("_zero"), F.count_if(F.col("side") == 1).alias("_one"))
+    more = F.when(F.col("_zero") != F.col("_one"), (F.col("_one") > F.col("_zero")).cast("int"))
+    earlier = Window.partitionBy("stream_id", "generation").orderBy("dispatch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*key, (1 - F.coalesce(F.last(more, ignorenulls=True).over(earlier), F.lit(1))).alias("_first"))
+    turn = F.row_number().over(Window.partitionBy(*key, "side").orderBy("sequence"))
+    rows = units.withColumn("_turn", turn).join(counts, key)
+    w = Window.partitionBy("stream_id").orderBy("generation", "dispatch", "_turn", F.col("side") != F.col("_first"), "sequence")
+    return rows.withColumn("position", F.row_number().over(w)).drop("_turn", "_first")
 
 
 def sync_decision(rows: DataFrame) -> DataFrame:

@@ -6,39 +6,47 @@ memory is bounded whatever a stream's length. The step functions are plain Pytho
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+TYPES = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, object], list[tuple]], schema: str, finish: Callable[[object, tuple], list[tuple]] | None = None) -> DataFrame:
-    """Runs step(state, row) over the rows of each key in order; what it returns are rows of schema. finish(state, key) may add rows at a key's end."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    columns = df.columns
+    """Runs step(state, row) over the rows of each key in order; what it returns are rows of schema. finish(state, key) may add rows at a key's end. Whole numbers stay whole, also beside nulls."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    row_of = namedtuple("Row", df.columns)
+    own_key = itemgetter(*[df.columns.index(k) for k in keys])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, TYPES[kind]) for column, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, begun = None, None, False
         out: list[tuple] = []
-        at = [columns.index(k) for k in keys]
         for batch in batches:
-            for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
-                own = tuple(row[i] for i in at)
-                if own != key:
-                    if finish and key is not None:
-                        out += finish(state, key)
-                    key, state = own, start()
+            for row in map(row_of._make, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                own = own_key(row)
+                if not begun or own != key:
+                    if finish and begun:
+                        out += finish(state, key if isinstance(key, tuple) else (key,))
+                    key, state, begun = own, start(), True
                 out += step(state, row)
                 if len(out) >= 4096:
-                    yield pd.DataFrame(out, columns=names)
+                    yield packed(out)
                     out = []
-        if finish and key is not None:
-            out += finish(state, key)
+        if finish and begun:
+            out += finish(state, key if isinstance(key, tuple) else (key,))
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield packed(out)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def half_away(num: int, den: int) -> int:
@@ -54,7 +62,6 @@ def half_away(num: int, den: int) -> int:
 class Reorder:
     expected: int | None = None
     ssrc: int | None = None
-    payload_type: int | None = None
     pending: dict[int, tuple[int, int]] = field(default_factory=dict)
 
     def ahead(self, seq: int) -> int:
@@ -71,22 +78,24 @@ class Reorder:
         self.drain(key, out)
 
 
-def reorder(packets: DataFrame, window: int, max_delay: int) -> DataFrame:
+def reorder(packets: DataFrame, window: int, max_delay: int, payload_type: int = 96) -> DataFrame:
     """packets (stream_id, arrival, received, ssrc, seq16, payload_type) in sequence order: stream_id, arrival, seq, event.
 
     released: in order, arrival being the packet's own; duplicate: behind or already held; gap: what is missing before seq is
     given up, because more than window packets wait or the oldest has waited max_delay (one gap for each cause and packet);
-    rejected: another payload type. A new ssrc starts anew. What still waits at the end is held.
+    rejected: another payload type than the planned one, whatever else it has; ssrc_changed: a new source, which starts anew at
+    this packet, what waited being given up. What still waits at the end is held.
     """
 
     def step(s: Reorder, r) -> list[tuple]:
         key, out = (r.stream_id,), []
+        if r.payload_type != payload_type:
+            return [(r.stream_id, r.arrival, r.seq16, "rejected")]
         if s.ssrc is not None and r.ssrc != s.ssrc:
-            s.expected, s.payload_type = None, None
+            out.append((*key, r.arrival, r.seq16, "ssrc_changed"))
+            s.expected = r.seq16
             s.pending.clear()
-        if s.payload_type is not None and r.payload_type != s.payload_type:
-            return [(r.stream_id, r.arrival, r.seq16, "rejected")]
-        s.ssrc, s.payload_type = r.ssrc, r.payload_type
+        s.ssrc = r.ssrc
         if s.expected is None:
             s.expected = r.seq16
         if s.ahead(r.seq16) < 0 or r.seq16 in s.pending:
@@ -173,20 +182,21 @@ def program_clock(samples: DataFrame, max_gap: int, modulus: int = 300 << 33, ra
     """Folds clock samples (stream_id, sequence, pcr, discontinuity): stream_id, sequence, generation, ready, source_ns.
 
     The second sample of a generation makes it ready. A discontinuity, a step back or one of more than max_gap ticks begins a
-    new generation, whose source time never falls behind what was published.
+    new generation, also on the first sample, but not again before that generation is ready. Its source time never falls
+    behind what was published.
     """
 
     def step(s: dict, r) -> list[tuple]:
         ahead = (r.pcr - s["pcr"]) % modulus if "pcr" in s else 0
-        if "pcr" in s and (r.discontinuity or 2 * ahead >= modulus or ahead == 0 or ahead > max_gap):
-            s.pop("pcr")
-            s["generation"] += 1
+        if r.discontinuity or "pcr" in s and (2 * ahead >= modulus or ahead == 0 or ahead > max_gap):
+            s.pop("pcr", None)
+            s.update(generation=s.get("generation", 1) + (not s.get("reacquiring", False)), reacquiring=True)
         if "pcr" not in s:
             s.setdefault("generation", 1)
             natural = r.pcr * 1_000_000_000 // rate
             s.update(pcr=r.pcr, anchor=r.pcr, source=max(s.get("published", natural), natural), ready=False)
         else:
-            s.update(pcr=s["pcr"] + ahead, ready=True)
+            s.update(pcr=s["pcr"] + ahead, ready=True, reacquiring=False)
         now = s["source"] + half_away((s["pcr"] - s["anchor"]) * 1_000_000_000, rate)
         if s["ready"]:
             s["published"] = now
@@ -245,7 +255,7 @@ def drift_servo(measures: DataFrame, policy: ServoPolicy = ServoPolicy()) -> Dat
             fresh(s)
             return says("reacquire")
         if "at" not in s:
-            s.update(at=r.at_ns, raw=r.phase_ns, phase=r.phase_ns)
+            s.update(at=r.at_ns, raw=r.phase_ns, phase=r.phase_ns, recovering=abs(r.phase_ns) >= p.enter)
             return says("first")
         elapsed = r.at_ns - s["at"]
         if elapsed < p.min_interval:
@@ -278,6 +288,38 @@ def drift_servo(measures: DataFrame, policy: ServoPolicy = ServoPolicy()) -> Dat
     return ordered_fold(measures, ["stream_id"], ["sequence"], dict, step, "stream_id long, sequence long, action string, stretch_ppm long, phase_ns long, frequency_ppm long, recovering boolean")
 
 
+# --- credit --------------------------------------------------------------------------------------------------------------
+
+
+def credit_admission(changes: DataFrame, max_bytes: int, max_objects: int) -> DataFrame:
+    """Reservations and releases (ledger_id, at, sequence, reservation, delta_bytes, delta_objects) under both limits: ledger_id, sequence, verdict, delta_bytes, delta_objects.
+
+    granted: it stays inside both limits with what is held; pressure: it doesn't, and is never added; release: it gives back
+    a part of a granted reservation; none: what it would give back was never granted. At equal times releases come first. The
+    state is what is held, by reservation.
+    """
+
+    def step(s: dict, r) -> list[tuple]:
+        held = s.setdefault("held", {})
+        if r.delta_bytes <= 0:
+            verdict = "release" if r.reservation in held else "none"
+            if verdict == "release":
+                own = held[r.reservation]
+                held[r.reservation] = (own[0] + r.delta_bytes, own[1] + r.delta_objects)
+                if held[r.reservation][0] <= 0:
+                    del held[r.reservation]
+                s["bytes"], s["objects"] = s["bytes"] + r.delta_bytes, s["objects"] + r.delta_objects
+        else:
+            fits = s.get("bytes", 0) + r.delta_bytes <= max_bytes and s.get("objects", 0) + r.delta_objects <= max_objects
+            verdict = "granted" if fits else "pressure"
+            if fits:
+                held[r.reservation] = (r.delta_bytes, r.delta_objects)
+                s.update(bytes=s.get("bytes", 0) + r.delta_bytes, objects=s.get("objects", 0) + r.delta_objects)
+        return [(r.ledger_id, r.sequence, verdict, r.delta_bytes, r.delta_objects)]
+
+    return ordered_fold(changes, ["ledger_id"], ["at", "delta_bytes", "sequence"], dict, step, "ledger_id long, sequence long, verdict string, delta_bytes long, delta_objects long")
+
+
 # --- rates and queues ---------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,11 +58,21 @@ def copy_eligible(branches: DataFrame) -> DataFrame:
     return branches.withColumn("mode", F.when(~F.col("enabled"), "drop").when(copies, "copy_packet").otherwise("transcode_frame"))
 
 
+# What a stage adds to a chain's score. All in hardware: on one device without copies, on one device, with a transfer; hardware in a mixed chain; software.
+ZERO_COPY, SAME_DEVICE, TRANSFER, MIXED, SOFTWARE = 1000, 900, 800, 650, 300
+
+
 def rank_candidates(candidates: DataFrame) -> DataFrame:
-    """Ranks the candidate chains of each request: unavailable ones last, then by score (priority, 100 for every stage in hardware, 50 if all share a device), then by label; chosen is the first that is admitted."""
-    hardware = F.col("decoder_hw").cast("int") + F.col("filter_hw").cast("int") + F.col("encoder_hw").cast("int")
-    score = F.when(~F.col("available"), -1).otherwise(F.col("priority") + 100 * hardware + F.when((hardware == 3) & F.col("same_device"), 50).otherwise(0))
-    rows = candidates.withColumn("score", score.cast("long"))
+    """Ranks the candidate chains of each request by score, then by label; chosen is the first that is available and admitted.
+
+    A chain is a decoder, an encoder and, where filter_active, a filter. Its score is the sum over its stages and its
+    declared priority; an unavailable chain has 0.
+    """
+    stages = [(F.col("decoder_hw"), F.lit(True)), (F.col("encoder_hw"), F.lit(True)), (F.col("filter_hw"), F.col("filter_active"))]
+    all_hw = reduce(Column.__and__, [hw | ~there for hw, there in stages])
+    in_hw = F.when(all_hw & F.col("same_device") & F.col("zero_copy"), ZERO_COPY).when(all_hw & F.col("same_device"), SAME_DEVICE).when(all_hw, TRANSFER).otherwise(MIXED)
+    sums = reduce(Column.__add__, [F.when(~there, 0).when(hw, in_hw).otherwise(SOFTWARE) for hw, there in stages])
+    rows = candidates.withColumn("score", F.when(F.col("available"), sums + F.col("priority")).otherwise(0).cast("long"))
     order = Window.partitionBy("request").orderBy(F.desc("score"), "label")
     rows = rows.withColumn("place", F.row_number().over(order).cast("long"))
     first = F.min(F.when(F.col("admitted") & F.col("available"), F.col("place"))).over(Window.partitionBy("request"))

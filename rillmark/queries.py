@@ -234,12 +234,13 @@ def late_subscription_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.late_subscription(units(spark, sf_dir), subscriptions, DAY).select("subscriber", "stream_id", "sequence")
 
 
-EPOCHS = [(k + 1, ORIGIN + k * WEEK, ORIGIN + (k + 1) * WEEK) for k in range(6)]
+#: What lies in the last days of the events is in no epoch.
+EPOCHS = [(k + 1, ORIGIN + k * WEEK, ORIGIN + (k + 1) * WEEK) for k in range(4)]
 
 
 @query(f"""WITH {{U}}, p(g, b, e) AS ({_values(EPOCHS)}), x AS (SELECT *, 1 + sequence % 5 AS generation FROM u)
-SELECT stream_id, sequence, generation, g::BIGINT AS epoch_generation, CASE WHEN generation < g THEN 'drop' WHEN generation > g THEN 'withhold' ELSE 'pass' END AS verdict
-FROM x JOIN p ON pts >= b AND pts < e""")
+SELECT stream_id, sequence, generation, g::BIGINT AS epoch_generation, CASE WHEN generation < g THEN 'drop' WHEN generation = g THEN 'pass' ELSE 'withhold' END AS verdict
+FROM x LEFT JOIN p ON pts >= b AND pts < e""")
 def epoch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     epochs = spark.createDataFrame(EPOCHS, "epoch_generation long, begins long, ends long")
     rows = units(spark, sf_dir).withColumn("generation", 1 + F.col("sequence") % 5)
@@ -301,9 +302,15 @@ def common_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scheduling ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {{U}}, x AS (SELECT stream_id, sequence, pts // {6 * HOUR} AS dispatch, 1 + pts // {20 * DAY} - {ORIGIN // (20 * DAY)} AS generation, key_frame::INT AS side FROM u),
-t AS (SELECT *, row_number() OVER (PARTITION BY stream_id, generation, dispatch, side ORDER BY sequence) AS turn FROM x)
-SELECT stream_id, sequence, side, row_number() OVER (PARTITION BY stream_id ORDER BY generation, dispatch, turn, side, sequence) AS position FROM t""")
+@query(f"""WITH RECURSIVE {{U}}, x AS (SELECT stream_id, sequence, pts // {6 * HOUR} AS dispatch, 1 + pts // {20 * DAY} - {ORIGIN // (20 * DAY)} AS generation, key_frame::INT AS side FROM u),
+s AS (SELECT *, row_number() OVER (PARTITION BY stream_id, generation, side ORDER BY dispatch, sequence) AS k FROM x),
+m(stream_id, generation, i, j, side, sequence, n) AS (SELECT DISTINCT stream_id, generation, 0::BIGINT, 0::BIGINT, 1, NULL::BIGINT, 0::BIGINT FROM x
+UNION ALL SELECT stream_id, generation, i + (pick = 0)::BIGINT, j + (pick = 1)::BIGINT, pick, CASE WHEN pick = 0 THEN a ELSE v END, n + 1 FROM (
+  SELECT m.stream_id, m.generation, i, j, n, a.sequence AS a, v.sequence AS v,
+    CASE WHEN a.sequence IS NULL THEN 1 WHEN v.sequence IS NULL THEN 0 WHEN a.dispatch < v.dispatch THEN 0 WHEN v.dispatch < a.dispatch THEN 1 ELSE 1 - m.side END AS pick
+  FROM m LEFT JOIN s a ON a.stream_id = m.stream_id AND a.generation = m.generation AND a.side = 0 AND a.k = m.i + 1
+  LEFT JOIN s v ON v.stream_id = m.stream_id AND v.generation = m.generation AND v.side = 1 AND v.k = m.j + 1 WHERE a.sequence IS NOT NULL OR v.sequence IS NOT NULL))
+SELECT stream_id, sequence, side, row_number() OVER (PARTITION BY stream_id ORDER BY generation, n) AS position FROM m WHERE n > 0""")
 def ordered_merge_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = units(spark, sf_dir).select("stream_id", "sequence", F.expr(f"pts div {6 * HOUR}").alias("dispatch"), F.expr(f"1 + pts div {20 * DAY} - {ORIGIN // (20 * DAY)}").alias("generation"), F.col("key_frame").cast("int").alias("side"))
     return scheduling.ordered_merge(rows).select("stream_id", "sequence", "side", F.col("position").cast("long").alias("position"))
@@ -366,10 +373,10 @@ def canonical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {{U}}, e AS (SELECT stream_id, min(pts) + {DAY} AS b FROM u GROUP BY stream_id)
-SELECT u.stream_id, u.sequence, u.pts - e.b + 5000 AS on_master FROM u JOIN e ON e.stream_id = u.stream_id WHERE u.pts >= e.b AND u.stream_id % 3 <> 0""")
+SELECT u.stream_id, u.sequence, u.pts - e.b + 5000 AS on_master FROM u JOIN e ON e.stream_id = u.stream_id WHERE u.pts >= e.b""")
 def epoch_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = units(spark, sf_dir).withColumn("generation", F.lit(1))
-    epochs = rows.where("stream_id % 3 <> 0").groupBy("stream_id", "generation").agg((F.min("pts") + DAY).alias("source_start")).withColumn("master_release", F.lit(5_000))
+    epochs = rows.groupBy("stream_id", "generation").agg((F.min("pts") + DAY).alias("source_start")).withColumn("master_release", F.lit(5_000))
     return canonical.bind_epoch(rows, epochs).select("stream_id", "sequence", "on_master")
 
 
@@ -432,10 +439,44 @@ def credit_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledgers.high_water(_credits(spark, sf_dir))
 
 
-@query(f"""WITH {_CREDIT}, w AS (SELECT *, sum(b) OVER x AS rb, sum(o) OVER x AS ro FROM c WINDOW x AS (PARTITION BY ledger_id ORDER BY t, b, sequence ROWS UNBOUNDED PRECEDING))
-SELECT ledger_id, sequence, CASE WHEN b <= 0 THEN 'release' WHEN rb <= 6000 AND ro <= 6 THEN 'granted' ELSE 'pressure' END AS verdict FROM w""")
+@query()
 def credit_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledgers.admission(_credits(spark, sf_dir), 6000, 6).select("ledger_id", "sequence", "verdict")
+    changes = _credits(spark, sf_dir).withColumn("reservation", F.expr("sequence div 10"))
+    return stateful.credit_admission(changes, 6000, 6).select("ledger_id", "sequence", "verdict")
+
+
+@query("""WITH v AS (SELECT o_custkey AS ledger_id, CASE o_orderstatus WHEN 'O' THEN 'granted' WHEN 'F' THEN 'release' ELSE 'pressure' END AS verdict, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END * o_orderkey AS b FROM orders)
+SELECT ledger_id, count(*) FILTER (verdict = 'granted') AS reservations, count(*) FILTER (verdict = 'release') AS releases, count(*) FILTER (verdict = 'pressure') AS pressure,
+  sum(CASE WHEN verdict = 'granted' THEN b ELSE 0 END)::BIGINT AS reserved_bytes, sum(CASE WHEN verdict = 'release' THEN -b ELSE 0 END)::BIGINT AS released_bytes FROM v GROUP BY ledger_id""")
+def reservation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    verdict = F.when(status == "O", "granted").when(status == "F", "release").otherwise("pressure")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ledger_id"), verdict.alias("verdict"), (F.when(status == "F", -1).otherwise(1) * F.col("o_orderkey")).alias("delta_bytes"), F.lit(1).alias("delta_objects"))
+    return ledgers.reservation_counts(rows)
+
+
+@query("""WITH b AS (SELECT l_suppkey AS output, l_partkey AS bytes, l_linenumber AS packets, (l_returnflag = 'R')::INT AS errors, epoch_us(l_shipdate) AS t, 0 AS branch FROM lineitem
+UNION ALL SELECT ps, o_orderkey, 1, (o_orderstatus = 'P')::INT, epoch_us(o_orderdate), 1 FROM (SELECT *, 1 + o_orderkey % 97 AS ps FROM orders))
+SELECT output, sum(bytes)::BIGINT AS bytes, sum(packets)::BIGINT AS packets, sum(errors)::BIGINT AS errors, count(DISTINCT branch) AS branches, max(t) AS last_at FROM b GROUP BY output""")
+def output_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("at")
+    first = lines.select(F.col("l_suppkey").alias("output"), F.col("l_partkey").alias("bytes"), F.col("l_linenumber").cast("long").alias("packets"), (F.col("l_returnflag") == "R").cast("long").alias("errors"), micros("l_shipdate"))
+    second = orders.select((1 + F.col("o_orderkey") % 97).alias("output"), F.col("o_orderkey").alias("bytes"), F.lit(1).cast("long").alias("packets"), (F.col("o_orderstatus") == "P").cast("long").alias("errors"), micros("o_orderdate"))
+    return ledgers.roll_up([first, second])
+
+
+@query("""WITH {U}, k AS (SELECT stream_id, abs(300000 - (sequence * 7919) % 360001)::DOUBLE AS s FROM u), p AS (SELECT stream_id, quantile_cont(s, 0.95) AS p95, quantile_cont(s, 0.99) AS p99 FROM k GROUP BY stream_id)
+SELECT stream_id, round(p95, 3) AS p95, round(p99, 3) AS p99, p95 <= 282000 AND p99 <= 298000 AS within FROM p""")
+def skew_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = units(spark, sf_dir).select("stream_id", (300_000 - (F.col("sequence") * 7919) % 360_001).alias("skew"))
+    return ledgers.skew_percentiles(rows, 282_000, 298_000).withColumns({c: F.round(c, 3) for c in ("p95", "p99")})
+
+
+@query("""WITH {U} SELECT stream_id, sequence, stream_kind FROM u WHERE stream_kind IN ('view', 'purchase')""")
+def stream_set_video_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = F.when(F.col("stream_kind").isin("view", "purchase"), "video").when(F.col("stream_kind") == "click", "audio").otherwise("data")
+    return routing.stream_set(units(spark, sf_dir), "VideoOnly", media).select("stream_id", "sequence", "stream_kind")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 48 THEN 'full' WHEN l_quantity >= 40 THEN 'critical' WHEN l_quantity >= 24 THEN 'high' ELSE 'healthy' END AS pressure FROM lineitem""")
@@ -548,19 +589,29 @@ def copy_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.copy_eligible(rows).select("branch", "mode")
 
 
-@query("""WITH c AS (SELECT o_custkey AS request, 'chain-' || o_orderkey AS label, o_orderkey % 2 AS d, o_orderkey % 3 // 2 AS f, o_orderkey % 5 // 3 AS e, o_orderkey % 7 <> 0 AS same, o_orderkey % 11 <> 0 AS av, o_orderkey % 4 <> 0 AS ad, o_orderkey % 40 AS pr FROM orders),
-s AS (SELECT *, CASE WHEN NOT av THEN -1 ELSE pr + 100 * (d + f + e) + CASE WHEN d + f + e = 3 AND same THEN 50 ELSE 0 END END AS score FROM c),
+@query("""WITH c AS (SELECT o_custkey AS request, 'chain-' || o_orderkey AS label, o_orderkey % 2 = 1 AS d, o_orderkey % 3 = 2 AS f, o_orderkey % 5 >= 3 AS e, o_orderkey % 4 > 1 AS active, o_orderkey % 7 <> 0 AS same, o_orderkey % 9 > 3 AS zero,
+  o_orderkey % 11 <> 0 AS av, o_orderkey % 13 <> 0 AS ad, o_orderkey % 40 AS pr FROM orders),
+k AS (SELECT *, CASE WHEN d AND e AND (f OR NOT active) THEN CASE WHEN same AND zero THEN 1000 WHEN same THEN 900 ELSE 800 END ELSE 650 END AS hw FROM c),
+s AS (SELECT *, CASE WHEN av THEN CASE WHEN d THEN hw ELSE 300 END + CASE WHEN e THEN hw ELSE 300 END + CASE WHEN NOT active THEN 0 WHEN f THEN hw ELSE 300 END + pr ELSE 0 END AS score FROM k),
 p AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, label) AS place FROM s)
 SELECT request, label, score, place, coalesce(place = min(CASE WHEN ad AND av THEN place END) OVER (PARTITION BY request), false) AS chosen FROM p""")
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("request"), F.concat(F.lit("chain-"), k.cast("string")).alias("label"), (k % 2 == 1).alias("decoder_hw"), (k % 3 == 2).alias("filter_hw"), (k % 5 >= 3).alias("encoder_hw"),
-        (k % 7 != 0).alias("same_device"), (k % 11 != 0).alias("available"), (k % 4 != 0).alias("admitted"), (k % 40).alias("priority"),
+        F.col("o_custkey").alias("request"), F.concat(F.lit("chain-"), k.cast("string")).alias("label"), (k % 2 == 1).alias("decoder_hw"), (k % 3 == 2).alias("filter_hw"), (k % 5 >= 3).alias("encoder_hw"), (k % 4 > 1).alias("filter_active"),
+        (k % 7 != 0).alias("same_device"), (k % 9 > 3).alias("zero_copy"), (k % 11 != 0).alias("available"), (k % 13 != 0).alias("admitted"), (k % 40).alias("priority"),
     )
     return planner.rank_candidates(rows).select("request", "label", "score", "place", "chosen")
 
 
+@query("""WITH r AS (SELECT o_orderkey AS request, ['file', 'url', 'sdp', 'rtp_port', 'ts_udp', 'external_ts', 'external_rtp'][(o_orderkey % 7 + 1)::INT] AS input_type, ['separate', 'muxed'][(o_orderkey % 2 + 1)::INT] AS layout, ['udp', 'rtp'][(o_orderkey % 3 // 2 + 1)::INT] AS transport FROM orders)
+SELECT request, input_type <> 'file' AS live, NOT (layout = 'separate' AND transport = 'udp') AS served FROM r""")
+def request_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, pick = F.col("o_orderkey"), lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("request"), pick(["file", "url", "sdp", "rtp_port", "ts_udp", "external_ts", "external_rtp"], k % 7).alias("input_type"), pick(["separate", "muxed"], k % 2).alias("layout"), pick(["udp", "rtp"], F.expr("o_orderkey % 3 div 2")).alias("transport"))
+    return planner.request_class(rows).select("request", "live", "served")
+
+
 @query("SELECT p_partkey AS request, min(p_partkey) OVER (PARTITION BY p_brand, p_type, nullif(p_size, 1)) AS shared_with FROM part")
 def encoding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("request"), "p_brand", "p_type", F.nullif("p_size", F.lit(1)).alias("size"))
@@ -665,6 +716,46 @@ def output_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).select("sequence", wire.output_timestamp(ns, 90_000, F.col("sequence") * 7).alias("rtp_ts"))
 
 
+@query(f"""WITH {{U}} SELECT sequence, stream_id AS ssrc, (pts // 1000000 + 2208988800) * 1000000000 + (sequence * 104729 * 1000000000) // 4294967296 AS ntp_ns, pts % 4294967296 AS rtp_ts, 1 + (sequence % 3 <> 0)::BIGINT + (sequence % 2 = 0)::BIGINT AS packets
+FROM u WHERE sequence % 7 <> 0""")
+def rtcp_sender_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compound datagrams of a sender report, mostly a source description and a goodbye; every seventh one is cut short and gives none."""
+    report = F.concat(F.lit("80C80006"), _hex("stream_id", 8), _hex("pts div 1000000 + 2208988800", 8), _hex("sequence * 104729", 8), _hex("pts % 4294967296", 8), F.lit("0000000100000002"))
+    more = F.concat(F.when(F.col("sequence") % 3 != 0, F.concat(F.lit("81CA0002"), _hex("stream_id", 8), F.lit("01016100"))).otherwise(""), F.when(F.col("sequence") % 2 == 0, F.concat(F.lit("81CB0001"), _hex("stream_id", 8))).otherwise(""))
+    text = F.concat(report, more, F.when(F.col("sequence") % 7 == 0, F.lit("81CB0001")).otherwise(""))
+    rows = units(spark, sf_dir).select("sequence", wire.rtcp_packets(F.unhex(text)).alias("p")).where("p is not null")
+    first = F.element_at("p", 1)
+    return rows.select("sequence", first["ssrc"].alias("ssrc"), wire.ntp_nanoseconds(first["ntp_sec"], first["ntp_frac"]).alias("ntp_ns"), first["rtp_ts"].alias("rtp_ts"), F.size("p").cast("long").alias("packets"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(url, '://', '://***@') ELSE url END AS url FROM pages""")
+def url_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").withColumn("url", F.when(F.col("page_id") % 2 == 0, F.replace("url", F.lit("://"), F.concat(F.lit("://user"), F.col("page_id").cast("string"), F.lit(":secret@")))).otherwise(F.col("url")))
+    return rows.select("page_id", wire.redacted_url(F.col("url")).alias("url"))
+
+
+@query("""SELECT p_partkey AS request, ['auto', NULL, 'cbr', 'cvbr', 'crf', 'cvbr', 'vbr', 'auto'][(p_partkey % 8 + 1)::INT] AS mode FROM part""")
+def rate_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.element_at(F.array(*[F.lit(x) for x in ("auto", "quality", "cbr", "capped_vbr", "crf", "capped-vbr", "vbr", "")]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("request"), wire.rate_control_mode(text).alias("mode"))
+
+
+@query("""SELECT doc_id, base64(encode(text)) AS base64, n_chars > 0 AS valid FROM documents""")
+def text_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.encode("text", "UTF-8")
+    return table(spark, sf_dir, "documents").select("doc_id", wire.base64_text(data).alias("base64"), wire.valid_utf8(data).alias("valid"))
+
+
+#: Bytes, and whether they are UTF-8: a lone continuation, a surrogate, an overlong form, a cut sequence, beyond the last code point.
+UTF8 = [("", True), ("41", True), ("C3A9", True), ("E282AC", True), ("F09F9880", True), ("80", False), ("EDA080", False), ("C0AF", False), ("E282", False), ("F4908080", False), ("41FF", False)]
+
+
+@query(f"""WITH {{U}} SELECT sequence, [{', '.join(str(ok).lower() for _, ok in UTF8)}][(sequence % {len(UTF8)} + 1)::INT] AS valid FROM u""")
+def utf8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.unhex(F.element_at(F.array(*[F.lit(x) for x, _ in UTF8]), (F.col("sequence") % len(UTF8) + 1).cast("int")))
+    return units(spark, sf_dir).select("sequence", wire.valid_utf8(data).alias("valid"))
+
+
 # --- folds --------------------------------------------------------------------------------------------------------------
 
 
@@ -677,7 +768,10 @@ def reorder_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.reorder(rows, 16, 30 * DAY // 1000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {{U}}, x AS (SELECT stream_id, sequence, (((pts // 1000 - (sequence * 7919) % 1000000000) % {1 << 32}) + {1 << 32}) % {1 << 32} AS c, row_number() OVER (PARTITION BY stream_id ORDER BY sequence) AS n FROM u),
+r(stream_id, sequence, n, last, a) AS (SELECT stream_id, sequence, n, c, NULL::BIGINT FROM x WHERE n = 1
+UNION ALL SELECT stream_id, sequence, n, last + CASE WHEN 2 * a < {1 << 32} THEN a ELSE 0 END, a FROM (SELECT x.stream_id, x.sequence, x.n, last, (((c - last) % {1 << 32}) + {1 << 32}) % {1 << 32} AS a FROM r JOIN x ON x.stream_id = r.stream_id AND x.n = r.n + 1))
+SELECT stream_id, sequence, CASE WHEN a IS NULL OR 2 * a < {1 << 32} THEN last END AS unwrapped, CASE WHEN a IS NULL THEN 'first' WHEN 2 * a < {1 << 32} THEN 'forward' WHEN 2 * a = {1 << 32} THEN 'ambiguous' ELSE 'backward' END AS status FROM r""")
 def unwrap_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = units(spark, sf_dir).select("stream_id", "sequence", F.pmod(F.expr("pts div 1000") - (F.col("sequence") * 7919) % 1_000_000_000, F.lit(1 << 32)).alias("counter"))
     return stateful.unwrap_with_rejects(rows, 1 << 32)
@@ -685,11 +779,19 @@ def unwrap_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sr_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = units(spark, sf_dir).where("stream_kind = 'signup'").select("stream_id", "sequence", F.lit("cam").alias("name"), (F.col("pts") * 1000).alias("source_ns"), F.expr(f"((pts - {ORIGIN}) * 9) div 100 + sequence % 50").alias("ticks"))
+    kind = F.array_position(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), F.col("stream_kind"))  # a clock of its own for each
+    rows = units(spark, sf_dir).select((F.col("stream_id") * 10 + kind).alias("stream_id"), "sequence", F.col("stream_kind").alias("name"), (F.col("pts") * 1000).alias("source_ns"), F.expr(f"((pts - {ORIGIN}) * 9) div 100 + sequence % 50").alias("ticks"))
     return stateful.report_calibration(rows, 90_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {{U}}, x AS (SELECT stream_id, sequence, ((pts - {ORIGIN}) * 27) % {300 << 33} AS p, sequence % 101 = 0 AS cut, row_number() OVER (PARTITION BY stream_id ORDER BY sequence) AS n FROM u),
+r(stream_id, sequence, n, generation, again, last, anchor, source, ready, published) AS (SELECT DISTINCT stream_id, 0::BIGINT, 0::BIGINT, 1::BIGINT, false, NULL::HUGEINT, NULL::HUGEINT, NULL::HUGEINT, false, NULL::HUGEINT FROM u
+UNION ALL SELECT stream_id, sequence, n, generation + (fresh AND NOT again)::INT, CASE WHEN fresh THEN true WHEN last IS NULL THEN again ELSE false END, CASE WHEN fresh OR last IS NULL THEN p ELSE last + a END, CASE WHEN fresh OR last IS NULL THEN p ELSE anchor END,
+  CASE WHEN fresh OR last IS NULL THEN greatest(coalesce(published, 0), p::HUGEINT * 1000000000 // 27000000) ELSE source END, NOT (fresh OR last IS NULL),
+  CASE WHEN fresh OR last IS NULL THEN published ELSE source + (2 * (last + a - anchor) * 1000000000 + 27000000) // 54000000 END FROM (
+    SELECT x.stream_id, x.sequence, x.n, p, generation, again, last, anchor, source, published, a, cut OR coalesce(2 * a >= {300 << 33} OR a = 0 OR a > {12 * HOUR * 27}, false) AS fresh
+    FROM (SELECT x.*, r.generation, r.again, r.last, r.anchor, r.source, r.published, (((x.p - r.last) % {300 << 33}) + {300 << 33}) % {300 << 33} AS a FROM r JOIN x ON x.stream_id = r.stream_id AND x.n = r.n + 1) x))
+SELECT stream_id, sequence, generation, ready, (CASE WHEN ready THEN published ELSE source END)::BIGINT AS source_ns FROM r WHERE n > 0""")
 def pcr_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = units(spark, sf_dir).select("stream_id", "sequence", F.expr(f"((pts - {ORIGIN}) * 27) % {300 << 33}").alias("pcr"), (F.col("sequence") % 101 == 0).alias("discontinuity"))
     return stateful.program_clock(rows, 12 * HOUR * 27)
@@ -702,14 +804,25 @@ def drift_servo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.drift_servo(rows)
 
 
-@query()
+@query("""WITH RECURSIVE {U}, l AS (SELECT [1000000, 2500000, 5000000, 8000000] AS rungs),
+x AS (SELECT stream_id, sequence, (sequence % 100) / 1000.0 AS loss, sequence * 31 % 210000 AS delay, sequence * 104729 % 30000000 AS t, row_number() OVER (PARTITION BY stream_id ORDER BY sequence) AS n FROM u),
+r(stream_id, sequence, n, k, stable) AS (SELECT DISTINCT stream_id, 0::BIGINT, 0::BIGINT, 4, 0 FROM u
+UNION ALL SELECT stream_id, sequence, n, CASE WHEN down AND k > 1 THEN k - 1 WHEN up AND k < 4 THEN k + 1 ELSE k END, CASE WHEN down AND k > 1 OR up AND k < 4 THEN 0 ELSE stable + 1 END FROM (
+  SELECT x.stream_id, x.sequence, x.n, k, stable, loss >= 0.05 OR delay >= 200000 OR t > 0 AND t < rungs[k] * 12 // 10 AS down, NOT (loss >= 0.05 OR delay >= 200000 OR t > 0 AND t < rungs[k] * 12 // 10) AND stable >= 8 AND loss < 0.01 AND delay < 50000 AND t > 2 * rungs[k] AS up
+  FROM r JOIN x ON x.stream_id = r.stream_id AND x.n = r.n + 1, l))
+SELECT stream_id, sequence, rungs[k]::BIGINT AS bitrate FROM r, l WHERE n > 0""")
 def abr_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("sequence")
     rows = units(spark, sf_dir).select("stream_id", "sequence", ((s % 100) / 1000).alias("loss"), (s * 31 % 210_000).alias("delay_us"), (s * 104_729 % 30_000_000).alias("throughput"))
     return stateful.bitrate_ladder(rows, [1_000_000, 2_500_000, 5_000_000, 8_000_000])
 
 
-@query()
+@query("""WITH RECURSIVE {U}, x AS (SELECT stream_id, sequence, sequence * 37 % 90000 AS q, sequence * 7919 % 60000000 AS res, row_number() OVER (PARTITION BY stream_id ORDER BY sequence) AS n FROM u),
+y AS (SELECT *, CASE WHEN res < 50000000 THEN least(greatest(1000000, (q * 1000000000 + (50000000 - res) - 1) // (50000000 - res)), 6000000) ELSE 6000000 END AS own FROM x),
+z AS (SELECT *, n * 1000000 AS rel, n * 1000000 + 40000000 AS due, (1400000000000 + own - 1) // own AS takes FROM y),
+r(stream_id, sequence, n, own, starts, takes, late, free) AS (SELECT DISTINCT stream_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, false, 0::BIGINT FROM u
+UNION ALL SELECT z.stream_id, z.sequence, z.n, z.own, greatest(rel, free), z.takes, greatest(rel, free) + z.takes > due, CASE WHEN greatest(rel, free) + z.takes > due THEN free ELSE greatest(rel, free) + z.takes END FROM r JOIN z ON z.stream_id = r.stream_id AND z.n = r.n + 1)
+SELECT stream_id, sequence, own AS rate, starts, CASE WHEN NOT late THEN starts + takes END AS ends, late FROM r WHERE n > 0""")
 def pacing_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(timestamps._by("sequence")).cast("long")
     rows = units(spark, sf_dir).select("stream_id", "sequence", (n * 1_000_000).alias("release"), (n * 1_000_000 + 40_000_000).alias("deadline"), F.lit(1_400).alias("bytes"), (F.col("sequence") * 37 % 90_000).alias("queued_bytes"), (F.col("sequence") * 7919 % 60_000_000).alias("residence"))

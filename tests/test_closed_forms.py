@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from rillmark.operators import stateful, timestamps
+from rillmark.operators import routing, scheduling, stateful, timestamps
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +119,66 @@ def test_queue_and_ladder(spark):
     assert [r.outcome for r in stateful.bounded_queue(df, 3, "block").collect()][3:] == ["would_block", "would_block", "popped"]
     samples = spark.createDataFrame([(1, k, 0.1 if k < 2 else 0.0, 0, 10**9) for k in range(12)], "stream_id long, sequence long, loss double, delay_us long, throughput long")
     assert [r.bitrate for r in stateful.bitrate_ladder(samples, [1, 2, 3]).collect()] == [2, 1] + [1] * 8 + [2, 2]
+
+
+def test_reorder_refuses_and_reports(spark):
+    """A packet of another payload type is refused before its source is looked at; a new source is reported and starts anew."""
+    rows = [(1, 0, 0, 7, 10, 96), (1, 1, 0, 7, 12, 96), (1, 2, 0, 8, 13, 97), (1, 3, 0, 8, 500, 96), (1, 4, 0, 8, 501, 96), (1, 5, 0, 7, 11, 97)]
+    df = spark.createDataFrame(rows, "stream_id long, arrival long, received long, ssrc long, seq16 long, payload_type long")
+    got = [(r.arrival, r.seq, r.event) for r in stateful.reorder(df, 3, 1_000_000).collect()]
+    assert got == [(0, 10, "released"), (2, 13, "rejected"), (3, 500, "ssrc_changed"), (3, 500, "released"), (4, 501, "released"), (5, 11, "rejected")]
+
+
+def test_program_clock_generations(spark):
+    """A discontinuity on the first sample counts, and a second one before the generation is ready doesn't."""
+    marks = [True, True, False, False, True, True, True, False]
+    df = spark.createDataFrame([(1, k, 1_000_000 * (k + 1), m) for k, m in enumerate(marks)], "stream_id long, sequence long, pcr long, discontinuity boolean")
+    out = stateful.program_clock(df, 10_000_000).orderBy("sequence").collect()
+    assert [(r.generation, r.ready) for r in out] == [(2, False), (2, False), (2, True), (2, True), (3, False), (3, False), (3, False), (3, True)]
+
+
+def test_servo_may_begin_in_recovery(spark):
+    df = spark.createDataFrame([(1, 0, 0, 150_000_000), (2, 0, 0, 1_000)], "stream_id long, sequence long, at_ns long, phase_ns long")
+    assert {r.stream_id: (r.action, r.recovering) for r in stateful.drift_servo(df).collect()} == {1: ("first", True), 2: ("first", False)}
+
+
+def test_credit_admission(spark):
+    """What is refused is never added, and gives nothing back."""
+    rows = [(1, 0, 10, 1, 60, 1), (1, 1, 20, 2, 60, 1), (1, 2, 30, 3, 40, 1), (1, 3, 21, 2, -60, -1), (1, 4, 11, 1, -30, 0), (1, 5, 50, 5, 30, 1), (1, 6, 12, 1, -30, -1)]
+    df = spark.createDataFrame(rows, "ledger_id long, at long, sequence long, reservation long, delta_bytes long, delta_objects long")
+    got = {r.sequence: r.verdict for r in stateful.credit_admission(df, 100, 3).collect()}
+    assert got == {10: "granted", 20: "pressure", 30: "granted", 21: "none", 11: "release", 50: "granted", 12: "release"}
+
+
+def test_fold_keeps_whole_numbers_beside_nulls(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(1, 0, big), (1, 1, None), (None, 0, big + 2)], "k long, n long, v long")
+    out = stateful.ordered_fold(df, ["k"], ["n"], dict, lambda s, r: [(r.k, r.v)], "k long, v long").collect()
+    assert sorted([(r.k or 0, r.v or 0) for r in out]) == [(0, big + 2), (1, 0), (1, big)]
+
+
+def test_ordered_merge_step_by_step(spark):
+    """Against a merge that looks at two heads at a time."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(s, k, g, rng.randrange(4), rng.randrange(2)) for s in range(6) for k, g in enumerate(sorted(rng.randrange(1, 3) for _ in range(30)))]
+    want = {}
+    for s in range(6):
+        place = 0
+        for g in (1, 2):
+            sides = [sorted((d, k) for t, k, h, d, side in rows if (t, h, side) == (s, g, x)) for x in (0, 1)]
+            last = 1
+            while sides[0] or sides[1]:
+                heads = [x[0][0] if x else 99 for x in sides]
+                last = 1 - last if heads[0] == heads[1] else int(heads[1] < heads[0])
+                place += 1
+                want[s, sides[last].pop(0)[1]] = place
+    df = spark.createDataFrame(rows, "stream_id long, sequence long, generation long, dispatch long, side int")
+    assert {(r.stream_id, r.sequence): r.position for r in scheduling.ordered_merge(df).collect()} == want
+
+
+def test_epoch_gate_keeps_records_outside(spark):
+    units = spark.createDataFrame([(1, 5, 1), (2, 15, 1), (3, 50, 1)], "sequence long, pts long, generation long")
+    epochs = spark.createDataFrame([(1, 0, 10), (2, 10, 20)], "epoch_generation long, begins long, ends long")
+    assert {r.sequence: r.verdict for r in routing.epoch_gate(units, epochs, 10).collect()} == {1: "pass", 2: "drop", 3: "withhold"}
