@@ -10,7 +10,8 @@ Scoring reads every passage.
 
 Defined cases: null and empty texts are a bag of one empty passage; label rows with null doc_id or null quality, and
 documents with contradicting labels, teach nothing; without labels of both kinds every score is the share of label 1 (0.5 if
-there are none); rows with the same doc_id are scored each; labels, lang, source and doc_id are never inputs of a score.
+there are none); rows with the same doc_id are scored each, and the one with the smallest features teaches; an empty
+table gives an empty result; very long texts are read whole, passage by passage; labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> AttentionModel | float:
     fits = cut(sizes.withColumn("_upto", upto).where(F.col("_upto") <= MAX_PASSAGES).select("doc_id"))
     some = docs.select("doc_id", "text").join(F.broadcast(known.join(fits, "doc_id")), "doc_id")
     found = some.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(encode, "doc_id long, quality int, bag binary")
-    rows = sorted(found.dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
+    rows = sorted(found.groupBy("doc_id", "quality").agg(F.min("bag").alias("bag")).collect(), key=lambda r: r.doc_id)  # of repeated rows always the same
     bags = [np.frombuffer(r.bag, dtype=np.float16).reshape(-1, N_FEATURES) for r in rows]
     return train(bags, np.array([float(r.quality) for r in rows]))
 
