@@ -3,7 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and is written as Parquet in the shared
 folder and read again. The first four return the columns of documents: the quality stage drops rejected documents, near-dedup
 keeps one document of each group, decontamination drops contaminated ones, mixing repeats every document as often as the mix
-takes it (0 to 2 times). The last returns the shard and slot of every row that is left.
+takes it (0 to 2 times), dealt by output shard. The last returns the shard and slot of every row that is left.
+
+Defined cases: null and empty texts are scored like any other and, if kept, are no near-duplicates, not contaminated and never
+mixed in, having no words; rows with a null doc_id are near-duplicates of nothing; of rows with one doc_id and one text one is
+kept, different texts of a kept document stay; an empty table passes every stage empty; extra columns, whatever their names,
+are carried through all stages but the last, which does not return them.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: Trained models, hashes of words and CRC-32 are beyond SQL; the stages are tested one by one against brute force.
+#: Trained models, hashes of words and CRC-32 are beyond SQL; the stages are tested one by one: near-dedup, mixing and sharding against brute force, the quality stage against the operator's scores, decontamination against op6, which has a brute-force test.
 ORACLE_SQL = None
 
 
