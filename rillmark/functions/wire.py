@@ -6,7 +6,8 @@ What can be said with built-in expressions is; only the checksum and the scan fo
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,40 +59,48 @@ def _crc_table() -> np.ndarray:
     return table
 
 
-@F.pandas_udf(T.LongType())
-def crc32_mpeg2(data: pd.Series) -> pd.Series:
+def _flat(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary array as one array, and where each value begins and the last one ends; nulls are empty."""
+    data = pa.compute.fill_null(data.cast(pa.large_binary()), b"")
+    _, offsets, values = data.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[data.offset : data.offset + len(data) + 1]
+    return np.frombuffer(values, dtype=np.uint8) if values is not None and values.size else np.zeros(0, dtype=np.uint8), ends
+
+
+@F.arrow_udf(T.LongType())
+def crc32_mpeg2(data: pa.Array) -> pa.Array:
     """Checksum of a binary column (starts with all ones, no final inversion), byte by byte over all values of the batch at once."""
-    known = data.notna().to_numpy()
-    values = [bytes(x) if k else b"" for x, k in zip(data, known, strict=True)]
-    lengths = np.array([len(x) for x in values])
-    table, crc = _crc_table(), np.full(len(values), 0xFFFFFFFF, dtype=np.uint64)
+    flat, ends = _flat(data)
+    starts, lengths = ends[:-1], np.diff(ends)
+    table, crc = _crc_table(), np.full(len(lengths), 0xFFFFFFFF, dtype=np.uint64)
     order = np.argsort(-lengths, kind="stable")
     for i in range(int(lengths.max(initial=0))):
         live = order[: int(np.searchsorted(-lengths[order], -i, side="left"))]
-        byte = np.fromiter((values[j][i] for j in live), dtype=np.uint64, count=len(live))
-        crc[live] = ((crc[live] << np.uint64(8)) & np.uint64(0xFFFFFFFF)) ^ table[((crc[live] >> np.uint64(24)) ^ byte).astype(np.int64)]
-    return pd.Series(crc.astype(np.int64)).where(pd.Series(known))
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("header", T.IntegerType())])))
-def nal_units(data: pd.Series) -> pd.Series:
-    """Units between start codes (00 00 01, with or without a zero before): where each begins, its length, its first byte."""
-
-    def scan(value) -> list[dict] | None:
-        if value is None:
-            return None
-        value, out = bytes(value), []
-        at = value.find(b"\x00\x00\x01")
-        while at >= 0:
-            begin, at = at + 3, value.find(b"\x00\x00\x01", at + 3)
-            end = at if at >= 0 else len(value)
-            while end > begin and value[end - 1] == 0 and at >= 0:
-                end -= 1
-            if end > begin:
-                out.append({"at": begin, "bytes": end - begin, "header": value[begin]})
-        return out
-
-    return data.map(scan)
+        crc[live] = ((crc[live] << np.uint64(8)) & np.uint64(0xFFFFFFFF)) ^ table[((crc[live] >> np.uint64(24)) ^ flat[starts[live] + i]).astype(np.int64)]
+    return pa.array(crc.astype(np.int64), mask=data.is_null().to_numpy(zero_copy_only=False))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("header", T.IntegerType())])))
+def nal_units(data: pa.Array) -> pa.Array:
+    """Units between start codes (00 00 01, with or without a zero before): where each begins, its length, its first byte.
+
+    All values of a batch are scanned as one array. Zeros ahead of the next start code belong to no unit; a null stays null.
+    """
+    flat, ends = _flat(data)
+    codes = np.flatnonzero((flat[:-2] == 0) & (flat[1:-1] == 0) & (flat[2:] == 1)) if len(flat) > 2 else np.zeros(0, dtype=np.int64)
+    value = np.searchsorted(ends, codes, side="right") - 1
+    whole = (codes >= ends[0]) & (codes + 3 <= ends[np.minimum(value + 1, len(ends) - 1)]) & (value < len(data))
+    codes, value = codes[whole], value[whole]
+    begin, end = codes + 3, ends[value + 1] if len(codes) else codes
+    followed = np.flatnonzero(value[1:] == value[:-1])
+    filled = np.maximum.accumulate(np.where(flat != 0, np.arange(len(flat)), -1))
+    end = end.copy()
+    end[followed] = np.maximum(begin[followed], filled[codes[followed + 1] - 1] + 1)
+    some = end > begin
+    begin, end, value = begin[some], end[some], value[some]
+    columns = [pa.array(begin - ends[value], pa.int64()), pa.array(end - begin, pa.int64()), pa.array(flat[begin].astype(np.int32), pa.int32())]
+    lists = np.searchsorted(value, np.arange(len(data) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays(columns, names=["at", "bytes", "header"]), mask=data.is_null())
 
 
 def is_random_access(header: Column, codec: str) -> Column:
@@ -101,6 +110,13 @@ def is_random_access(header: Column, codec: str) -> Column:
     return F.shiftright(header, 1).bitwiseAND(F.lit(63)).isin(19, 20)
 
 
+def random_access_unit(units: Column, codec: str) -> Column:
+    """Whether an access unit (its units, as nal_units lists them) holds a random-access slice and no slice of another kind."""
+    kind = lambda u: u["header"].bitwiseAND(F.lit(31)) if codec == "h264" else F.shiftright(u["header"], 1).bitwiseAND(F.lit(63))
+    slices = F.filter(units, lambda u: kind(u).between(1, 5) if codec == "h264" else kind(u) < 32)
+    return (F.size(slices) > 0) & F.forall(slices, lambda u: is_random_access(u["header"], codec))
+
+
 def fmtp(text: Column) -> Column:
     """Parameters key=value, separated by semicolons, as a map with lower-case keys; null if one has no name or value or a name occurs twice."""
     parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")

@@ -687,14 +687,25 @@ def datagram_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _datagrams(spark, sf_dir).select("sequence", wire.crc32_mpeg2("data").alias("crc"))
 
 
-@query()
+def _access_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delimiter and a slice; every third access unit has a second slice, which is no random-access one."""
+    slices = F.concat(F.when(F.col("key_frame"), F.lit("65")).otherwise(F.lit("41")), F.repeat(F.lit("5A"), (F.col("sequence") % 40 + 1).cast("int")))
+    text = F.concat(F.lit("0000000109F0"), F.lit("00000001"), slices, F.when(F.col("sequence") % 3 == 0, F.lit("00000141B0")).otherwise(""))
+    return units(spark, sf_dir).select("sequence", wire.nal_units(F.unhex(text)).alias("n"))
+
+
+@query("""WITH {U}, n AS (SELECT sequence, 4::BIGINT AS "at", 2::BIGINT AS bytes, false AS random_access FROM u UNION ALL SELECT sequence, 10, sequence % 40 + 2, key_frame FROM u
+UNION ALL SELECT sequence, sequence % 40 + 15, 2, false FROM u WHERE sequence % 3 = 0) SELECT * FROM n""")
 def nal_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = units(spark, sf_dir)
-    text = F.concat(F.lit("0000000109F0"), F.lit("00000001"), F.when(F.col("key_frame"), F.lit("65")).otherwise(F.lit("41")), F.repeat(F.lit("5A"), (F.col("sequence") % 40 + 1).cast("int")))
-    found = rows.select("sequence", F.explode(wire.nal_units(F.unhex(text))).alias("n"))
+    found = _access_units(spark, sf_dir).select("sequence", F.explode("n").alias("n"))
     return found.select("sequence", "n.at", "n.bytes", wire.is_random_access(F.col("n.header"), "h264").alias("random_access"))
 
 
+@query("""WITH {U} SELECT sequence, key_frame AND sequence % 3 <> 0 AS random_access FROM u""")
+def nal_access_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _access_units(spark, sf_dir).select("sequence", wire.random_access_unit(F.col("n"), "h264").alias("random_access"))
+
+
 @query("""WITH {U} SELECT sequence, sequence % 6 AS mode, CASE WHEN sequence % 5 <> 0 THEN stream_kind END AS profile FROM u""")
 def fmtp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("packetization-mode="), (F.col("sequence") % 6).cast("string"), F.when(F.col("sequence") % 5 != 0, F.concat(F.lit("; Profile = "), F.col("stream_kind"))).otherwise(F.lit(" ;")))

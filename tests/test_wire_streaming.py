@@ -1,5 +1,8 @@
 """Byte functions on hand-made vectors; streaming forms against batch."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +37,39 @@ def test_units(spark):
     assert [(u.at, u.bytes, u.header) for u in units] == [(4, 3, 0x65), (10, 2, 0x41)]
 
 
+def test_units_and_checksums_by_brute_force(spark):
+    """Short values of few bytes, so that start codes lie at ends, next to zeros, in a row, and across neighbouring values."""
+    rng = random.Random(5)
+    values = [None, b"", b"\0\0\1", b"\0\0", b"\1\x65"] + [bytes(rng.choice((0, 0, 0, 1, 0x65)) for _ in range(rng.randrange(24))) for _ in range(400)]
+
+    def units(value):
+        if value is None:
+            return None
+        begins = [m.end() for m in re.finditer(b"\0\0\1", value)]
+        ends = [b + len(value[b : n - 3].rstrip(b"\0")) for b, n in zip(begins, begins[1:], strict=False)] + [len(value)]
+        return [(b, e - b, value[b]) for b, e in zip(begins, ends, strict=False) if e > b]
+
+    def checksum(value):
+        crc = 0xFFFFFFFF
+        for byte in value or b"":
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = ((crc << 1) ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+        return None if value is None else crc
+
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x binary").select("i", wire.nal_units("x").alias("n"), wire.crc32_mpeg2("x").alias("c")).collect()
+    assert len(rows) == len(values)
+    for r in rows:
+        got = None if r.n is None else [tuple(u) for u in r.n]
+        assert got == units(values[r.i]) and r.c == checksum(values[r.i]), values[r.i]
+
+
+@pytest.mark.parametrize(("codec", "headers", "expected"), [("h264", (9, 0x65), True), ("h264", (0x65, 0x41), False), ("h264", (9,), False), ("hevc", (38, 40, 64), True), ("hevc", (38, 2), False)])
+def test_random_access_unit(spark, codec, headers, expected):
+    value = b"".join(b"\0\0\1" + bytes((h, 0x80)) for h in headers)
+    assert one(spark, value, lambda x: wire.random_access_unit(wire.nal_units(x), codec)) is expected
+
+
 def test_text(spark):
     row = spark.createDataFrame([("a=1; B=x=y ;", "http://u:p@h/x", "capped-vbr")], "f string, u string, m string")
     got = row.select(wire.fmtp(F.col("f")).alias("f"), wire.redacted_url(F.col("u")).alias("u"), wire.rate_control_mode(F.col("m")).alias("m")).first()
