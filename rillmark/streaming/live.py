@@ -26,43 +26,45 @@ def counts_by_window(units: DataFrame, width: str) -> DataFrame:
 
 
 def start_gate(units: DataFrame) -> DataFrame:
-    """Each stream from its first key record on, across micro-batches: the state is one flag a stream."""
-    schema = units.schema
+    """Each stream from its first key record on, across micro-batches: the state is one flag a stream.
+
+    Only until a stream has had its key are its records of a trigger (which maxFilesPerTrigger bounds) held together, to
+    find the first in order; those of an open stream pass through batch by batch. The flags are
+    never dropped: the state has one for every stream there ever was.
+    """
 
     def gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         opened = state.exists and state.get[0]
-        for rows in batches:
-            rows = rows.sort_values(["pts", "sequence"])
-            if not opened:
-                keys = rows["key_frame"].to_numpy().nonzero()[0]
-                if not len(keys):
-                    continue
-                opened, rows = True, rows.iloc[keys[0] :]
-            yield rows
-        state.update((bool(opened),))
+        if opened:
+            yield from batches
+        else:
+            rows = pd.concat(list(batches)).sort_values(["pts", "sequence"], ignore_index=True)
+            keys = rows["key_frame"].fillna(False).to_numpy(dtype=bool).nonzero()[0]
+            opened = bool(len(keys))
+            if opened:
+                yield rows.iloc[keys[0] :]
+        state.update((opened,))
 
-    return units.groupBy("stream_id").applyInPandasWithState(gate, schema, "opened boolean", "append", GroupStateTimeout.NoTimeout)
+    return units.groupBy("stream_id").applyInPandasWithState(gate, units.schema, "opened boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def last_seen(units: DataFrame, gap: int) -> DataFrame:
-    """Continuity across micro-batches: stream_id, sequence, pts, reason for each step back and each step of more than gap; the state is the last pts."""
+    """Continuity across micro-batches: stream_id, sequence, pts, reason for each step back and each step of more than gap; the state is the last pts.
+
+    The records of a stream in one trigger, three numbers each, are ordered together.
+    """
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for rows in batches:
-            rows = rows.sort_values("sequence")
-            before = rows["pts"].shift()
-            if last is not None:
-                before.iloc[0] = last
-            reason = pd.Series(None, index=rows.index, dtype=object)
-            reason[rows["pts"] < before] = "regression"
-            reason[rows["pts"] - before > gap] = "gap"
-            last = int(rows["pts"].iloc[-1])
-            yield rows.assign(reason=reason)[reason.notna()][["stream_id", "sequence", "pts", "reason"]]
-        if last is not None:
-            state.update((last,))
-
-    return units.groupBy("stream_id").applyInPandasWithState(watch, "stream_id long, sequence long, pts long, reason string", "last long", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(batches)).sort_values("sequence", ignore_index=True)
+        before = rows["pts"].shift(fill_value=state.get[0] if state.exists else rows["pts"].iloc[0])
+        reason = pd.Series(None, index=rows.index, dtype=object)
+        reason[rows["pts"] < before] = "regression"
+        reason[rows["pts"] - before > gap] = "gap"
+        yield rows.assign(reason=reason)[reason.notna()]
+        state.update((int(rows["pts"].iloc[-1]),))
+
+    narrow = units.select("stream_id", "sequence", "pts").where("pts is not null")
+    return narrow.groupBy("stream_id").applyInPandasWithState(watch, "stream_id long, sequence long, pts long, reason string", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def commit_outputs(units: DataFrame, outputs: Callable[[], list[str]], path: str, checkpoint: str):

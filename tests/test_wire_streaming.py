@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rillmark.functions import wire
@@ -100,6 +101,51 @@ def test_stream_gate(spark, streamed, tmp_path):
     assert got.groupBy("stream_id").agg(F.count_if("key_frame").alias("n")).where("n = 0").count() == 0
 
 
+@pytest.fixture()
+def small_batches(spark):
+    """Arrow batches of 50 rows, so that a stream's records of one trigger come in many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.fixture()
+def backwards(spark, sf_dir, tmp_path):
+    """One trigger that holds everything, the latest records first."""
+    units = from_events(table(spark, sf_dir, "events"))
+    units.orderBy(F.desc("pts")).coalesce(1).write.parquet(str(tmp_path / "back"))
+    return units, io.stream_units(spark, str(tmp_path / "back"), units.schema, 1)
+
+
+def ids(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_stream_gate_orders_a_trigger(spark, backwards, small_batches, tmp_path):
+    units, stream = backwards
+    live.run_to_table(live.start_gate(stream), "gate_once", str(tmp_path / "c"))
+    assert ids(spark.table("gate_once"), "stream_id", "sequence") == ids(routing.start_gate(units), "stream_id", "sequence")
+
+
+def test_stream_continuity(spark, backwards, small_batches, tmp_path):
+    units, stream = backwards
+    gap = 86_400_000_000
+    live.run_to_table(live.last_seen(stream, gap), "seen", str(tmp_path / "c"))
+    before = F.lag("pts").over(Window.partitionBy("stream_id").orderBy("sequence"))
+    step = F.col("pts") - before
+    expected = units.withColumn("reason", F.when(step < 0, "regression").when(step > gap, "gap")).where("reason is not null")
+    assert ids(spark.table("seen"), "stream_id", "sequence", "reason") == ids(expected, "stream_id", "sequence", "reason") != []
+
+
+def test_stream_windows(spark, streamed, tmp_path):
+    """The windows that the watermark has closed hold what the batch form counts in them."""
+    units, stream = streamed
+    live.run_to_table(live.counts_by_window(live.watermarked(stream, "60 days"), "1 day"), "by_window", str(tmp_path / "c"))
+    got = spark.table("by_window").select("window.start", "stream_kind", "records", "bytes")
+    whole = live.counts_by_window(units.withColumn("event_time", F.timestamp_micros("pts")), "1 day").select("window.start", "stream_kind", "records", "bytes")
+    assert set(map(tuple, got.collect())) <= set(map(tuple, whole.collect()))
+
+
 def test_stream_outputs(spark, streamed, tmp_path):
     units, stream = streamed
     live.commit_outputs(stream, lambda: ["a", "b"], str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
