@@ -62,7 +62,8 @@ def mix_plan(docs: DataFrame, shards: int = 8, share: float = 1.5, weights: tupl
     The texts are read once; only narrow columns are shuffled. Documents are dealt by ranges of (source, hash), so a
     source with a third of all rows fills many partitions.
     """
-    narrow = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("_hash", _key(seed, "doc_id")).withColumn("_tie", F.monotonically_increasing_id()))
+    narrow = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("_hash", _key(seed, "doc_id")).withColumn("_tie", F.monotonically_increasing_id())
+    narrow = cut(narrow.hint("rebalance"))  # a file for each advisory size, not for each part of the texts
     sources = cut(source_targets(narrow, share, weights))
     ranked = narrow.join(sources, narrow["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     placed = with_prefix(ranked, ["source_no", "_hash", "doc_id", "size", "_tie"], "size")
