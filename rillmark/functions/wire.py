@@ -204,3 +204,46 @@ RATE_MODES = {"auto": "auto", "": "auto", "cbr": "cbr", "vbr": "vbr", "cvbr": "c
 def rate_control_mode(text: Column) -> Column:
     """The canonical name of a rate-control mode; null if it is unknown."""
     return F.create_map(*[F.lit(x) for pair in RATE_MODES.items() for x in pair])[text]
+
+
+def _big_endian(number: Column, n: int) -> Column:
+    return F.lpad(F.hex(number), 2 * n, "0")
+
+
+def timestamp_field(prefix: int, ticks: Column) -> Column:
+    """The five bytes of a 33-bit timestamp behind a prefix of four bits (1, 2 or 3), a marker bit after each part; null if it doesn't fit."""
+    part = lambda shift, mask: F.shiftright(ticks, shift).bitwiseAND(F.lit(mask)) * 2 + 1
+    text = F.concat(_big_endian(F.lit(16 * prefix) + part(30, 0x7), 1), _big_endian(part(15, 0x7FFF), 2), _big_endian(part(0, 0x7FFF), 2))
+    return F.when(ticks.between(0, (1 << 33) - 1) & F.lit(prefix in (1, 2, 3)), F.unhex(text))
+
+
+def timestamp_value(data: Column) -> Column:
+    """The 33-bit timestamp of such five bytes; null if a marker bit is missing or the prefix is none of the three."""
+    a, b, c = unsigned(data, 0, 1), unsigned(data, 1, 2), unsigned(data, 3, 2)
+    marked = (a % 2 == 1) & (b % 2 == 1) & (c % 2 == 1) & F.shiftright(a, 4).isin(1, 2, 3)
+    value = F.shiftleft(F.shiftright(a, 1).bitwiseAND(F.lit(7)), 30) + F.shiftleft(F.shiftright(b, 1), 15) + F.shiftright(c, 1)
+    return F.when((F.octet_length(data) == 5) & marked, value)
+
+
+def rewritten(data: Column, head: Column, payload_type: int, ssrc: Column, rtp_ts: Column) -> Column:
+    """A datagram, whose header rtp_header gives, with another source and timestamp; null if it is none, has no payload or another payload type than planned, or the source is 0."""
+    control = unsigned(data, 1, 1).between(192, 223)
+    fields = F.unhex(F.concat(_big_endian(rtp_ts, 4), _big_endian(ssrc, 4)))
+    return F.when(~control & (head["payload_type"] == payload_type) & (head["payload_bytes"] > 0) & (ssrc != 0), F.overlay(data, fields, 5, 8))
+
+
+def sender_report(ssrc: Column, ntp_sec: Column, ntp_frac: Column, rtp_ts: Column, packets: Column, octets: Column) -> Column:
+    """The 28 bytes of a sender report without report blocks; counters wrap at 32 bits."""
+    wrapped = [F.pmod(x, F.lit(1 << 32)) for x in (ssrc, ntp_sec, ntp_frac, rtp_ts, packets, octets)]
+    return F.unhex(F.concat(F.lit("80C80006"), *[_big_endian(x, 4) for x in wrapped]))
+
+
+def transport_session_description(user: Column, session_id: Column, version: Column, session: Column, address: Column, port: Column, ssrc: Column, cname: Column) -> Column:
+    """The text of a session description of one transport stream (payload type 33, 90 kHz, reports on the next port); null unless the port is even and not 0, version and source are not 0."""
+    family = F.when(F.contains(address, F.lit(":")), "IP6").otherwise("IP4")
+    where, number = F.concat(F.lit("IN "), family, F.lit(" "), address), lambda x: x.cast("string")
+    lines = [
+        F.lit("v=0"), F.concat_ws(" ", F.concat(F.lit("o="), user), number(session_id), number(version), where), F.concat(F.lit("s="), session), F.concat(F.lit("c="), where), F.lit("t=0 0"),
+        F.concat(F.lit("m=video "), number(port), F.lit(" RTP/AVP 33")), F.concat(F.lit("a=rtcp:"), number(port + 1), F.lit(" "), where), F.lit("a=rtpmap:33 MP2T/90000"), F.concat(F.lit("a=ssrc:"), number(ssrc), F.lit(" cname:"), cname),
+    ]
+    return F.when((port % 2 == 0) & (port > 0) & (ssrc != 0) & (version != 0), F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n")))

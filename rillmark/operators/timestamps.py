@@ -30,6 +30,24 @@ def resample_constant_rate(units: DataFrame, period: int, gap: int) -> DataFrame
     return ticks.select("stream_id", F.col("_t").alias("pts"), F.when(earlier, F.col("_prev_seq")).otherwise(F.col("sequence")).alias("source_sequence"))
 
 
+def resample_rational_rate(units: DataFrame, num: int, den: int, gap: int) -> DataFrame:
+    """As resample_constant_rate for a period of num / den ticks: tick k is at start + k * num / den, halves away from zero; of ticks at one time the first stays.
+
+    The last tick up to a record that lies x behind the start is k = ((2x + 1) * den - 1) div (2 * num), so (2x + 1) * den must fit a long.
+    """
+    w = _by("pts", "sequence")
+    rows = units.withColumn("_prev", F.lag("pts").over(w)).withColumn("_prev_seq", F.lag("sequence").over(w))
+    rows = rows.withColumn("_new", F.col("_prev").isNull() | (F.col("pts") - F.col("_prev") > gap))
+    rows = rows.withColumn("_start", F.last(F.when(F.col("_new"), F.col("pts")), True).over(_upto("pts", "sequence")))
+    upto = lambda c: F.expr(f"((2 * ({c} - _start) + 1) * {den}L - 1) div {2 * num}L")
+    rows = rows.withColumn("_low", F.when(F.col("_new"), F.lit(0).cast("long")).otherwise(upto("_prev") + 1)).withColumn("_high", upto("pts")).where("_low <= _high")
+    at = lambda k: F.expr(f"(2 * {k} * {num}L + {den}L) div {2 * den}L")
+    ticks = rows.select("*", F.explode(F.sequence("_low", "_high")).alias("_k")).withColumn("_t", F.col("_start") + at("_k"))
+    ticks = ticks.where((F.col("_k") == 0) | (F.col("_t") > F.col("_start") + at("(_k - 1)")))
+    earlier = ~F.col("_new") & (F.col("_t") - F.col("_prev") <= F.col("pts") - F.col("_t"))
+    return ticks.select("stream_id", F.col("_t").alias("pts"), F.when(earlier, F.col("_prev_seq")).otherwise(F.col("sequence")).alias("source_sequence"))
+
+
 def resample_stats(units: DataFrame, period: int, gap: int) -> DataFrame:
     """For each stream: records in, ticks out, ticks that repeat a record, records that no tick shows."""
     out = resample_constant_rate(units, period, gap)

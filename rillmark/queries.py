@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.functions import wire
-from rillmark.operators import canonical, clocks, ledgers, routing, scheduling, stateful, timestamps
+from rillmark.operators import canonical, clocks, ledgers, payloads, routing, scheduling, stateful, timestamps
 from rillmark.plans import graph, planner
 from rillmark.schema import from_events
 from rillmark.session import table
@@ -66,6 +66,17 @@ def resample_dup_drop_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.resample_stats(units(spark, sf_dir), HOUR, DAY)
 
 
+@query(f"""WITH {{U}},
+a AS (SELECT *, lag(pts) OVER w AS p, lag(sequence) OVER w AS ps FROM u WINDOW w AS (PARTITION BY stream_id ORDER BY pts, sequence)),
+b AS (SELECT *, (p IS NULL OR pts - p > {DAY}) AS fresh FROM a),
+c AS (SELECT *, last_value(CASE WHEN fresh THEN pts END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY pts, sequence ROWS UNBOUNDED PRECEDING) AS s FROM b),
+n AS (SELECT *, unnest(range(0, (pts - s) * 7 // {7 * HOUR + 3} + 2)) AS k FROM c),
+t AS (SELECT *, s + ((2 * k * {7 * HOUR + 3} + 7) // 14) AS x FROM n)
+SELECT stream_id, x AS pts, CASE WHEN NOT fresh AND x - p <= pts - x THEN ps ELSE sequence END AS source_sequence FROM t WHERE x <= pts AND (fresh OR x > p)""")
+def resample_rational_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.resample_rational_rate(units(spark, sf_dir), 7 * HOUR + 3, 7, DAY)
+
+
 def jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with pts out of order, dts around it, and durations, some of them missing."""
     shaken = F.col("pts") - (F.col("sequence") * 7919) % 40_000_000_000
@@ -767,6 +778,86 @@ def utf8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).select("sequence", wire.valid_utf8(data).alias("valid"))
 
 
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of a unit for each event: alone, behind a delimiter in an aggregate, or in three fragments; numbers are left out before some units and inside others, as if packets were lost."""
+    rows = units(spark, sf_dir).withColumn("n", F.row_number().over(timestamps._by("sequence")))
+    head, body = F.when(F.col("key_frame"), "65").otherwise("41"), F.repeat(F.lit("5A"), (F.col("sequence") % 40 + 3).cast("int"))
+    mark = F.when(F.col("key_frame"), "7C").otherwise("5C")
+    kind = F.when(F.col("key_frame"), F.lit("5")).otherwise(F.lit("1"))
+    parts = F.array(F.concat(mark, F.lit("8"), kind, F.lit("5A")), F.concat(mark, F.lit("0"), kind, F.lit("5A")), F.concat(mark, F.lit("4"), kind, F.substring(body, F.lit(5), F.length(body))))
+    bundle = F.concat(F.lit("18000209F0"), _hex("sequence % 40 + 4", 4), head, body)
+    texts = F.when(F.col("sequence") % 3 == 0, F.array(F.concat(head, body))).when(F.col("sequence") % 3 == 1, F.array(bundle)).otherwise(parts)
+    rows = rows.select("stream_id", "sequence", "n", F.posexplode(texts).alias("i", "text"), F.size(texts).alias("of"))
+    lost = ((F.col("sequence") % 11 == 5) & (F.col("i") == 0)) | ((F.col("sequence") % 13 == 4) & (F.col("i") == 2))
+    seq = F.sum(1 + lost.cast("long")).over(timestamps._upto("sequence", "i"))
+    return rows.select("stream_id", seq.alias("seq"), (F.col("n") * 3000).cast("long").alias("rtp_ts"), (F.col("i") + 1 == F.col("of")).alias("marker"), F.unhex("text").alias("payload"))
+
+
+@query("""WITH {U}, a AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY sequence) AS n, CASE WHEN key_frame THEN '65' ELSE '41' END || repeat('5A', (sequence % 40 + 3)::INT) AS unit FROM u),
+b AS (SELECT *, NOT (sequence % 11 = 5 AND n > 1) AND NOT (sequence % 3 = 2 AND sequence % 13 = 4) AS complete FROM a)
+SELECT stream_id, n * 3000 AS rtp_ts, CASE WHEN sequence % 3 = 2 THEN 3 ELSE 1 END::BIGINT AS packets, complete, key_frame,
+  CASE WHEN complete THEN CASE WHEN sequence % 3 = 1 THEN '0000000109F0' ELSE '' END || '00000001' || unit END AS data FROM b""")
+def packet_access_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.access_units(_payloads(spark, sf_dir), "h264").withColumn("data", F.hex("data"))
+
+
+@query("""WITH {U}, n AS (SELECT sequence, unnest(range(0, sequence % 4 + 1)) AS i FROM u WHERE sequence % 9 <> 0) SELECT sequence, i * (sequence % 3 + 1) * 1024 AS ts_offset, sequence % 50 + 1 + i AS bytes FROM n""")
+def aac_packet_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of one to four frames whose index steps by one to three; every ninth is a byte short and gives none."""
+    last = F.expr("sequence(0L, sequence % 4)")
+    sizes = F.transform(last, lambda i: F.lpad(F.hex((F.col("sequence") % 50 + 1 + i) * 8 + F.when(i > 0, F.col("sequence") % 3).otherwise(0)), 4, "0"))
+    bodies = F.transform(last, lambda i: F.repeat(F.lit("AA"), (F.col("sequence") % 50 + 1 + i).cast("int")))
+    text = F.concat(_hex("16 * (sequence % 4 + 1)", 4), F.array_join(sizes, ""), F.array_join(bodies, ""))
+    text = F.when(F.col("sequence") % 9 == 0, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    frames = units(spark, sf_dir).select("sequence", F.explode(payloads.aac_frames(F.unhex(text), 1024)).alias("f"))
+    return frames.select("sequence", "f.ts_offset", F.octet_length("f.data").cast("long").alias("bytes"))
+
+
+@query("""WITH {U}, a AS (SELECT sequence, (sequence % 32)::INT AS m, sequence // 32 % 4 AS code, sequence // 128 % 8 AS listed FROM u),
+b AS (SELECT *, CASE WHEN m < 12 THEN [480, 960, 1920, 2880][m % 4 + 1] WHEN m < 16 THEN [480, 960][m % 2 + 1] ELSE 120 * 2 ** (m % 4) END::BIGINT * CASE code WHEN 0 THEN 1 WHEN 3 THEN listed ELSE 2 END AS d FROM a)
+SELECT sequence, CASE WHEN d BETWEEN 1 AND 5760 THEN d END AS samples FROM b""")
+def opus_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(_hex("(sequence % 32) * 8 + sequence div 32 % 4", 2), _hex("sequence div 128 % 8", 2))
+    return units(spark, sf_dir).select("sequence", payloads.opus_duration(F.unhex(text)).alias("samples"))
+
+
+@query("""WITH {U}, a AS (SELECT sequence, pts % 8589934592 AS t FROM u)
+SELECT sequence, printf('%02X%02X%02X%02X%02X', 33 + 2 * (t >> 30), (t >> 22) & 255, ((t >> 15) & 127) * 2 + 1, (t >> 7) & 255, (t & 127) * 2 + 1) AS field, t AS ticks FROM a""")
+def pes_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = units(spark, sf_dir).select("sequence", wire.timestamp_field(2, F.col("pts") % (1 << 33)).alias("field"))
+    return rows.select("sequence", F.hex("field").alias("field"), wire.timestamp_value(F.col("field")).alias("ticks"))
+
+
+@query("""WITH {U} SELECT sequence, key_frame AS marker, sequence % 65536 AS seq, sequence * 90 % 4294967296 AS rtp_ts, stream_id + 7 AS ssrc, sequence % 40 AS payload_bytes FROM u WHERE sequence % 40 > 0""")
+def rewritten_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datagrams as another source sends them; those without a payload are refused."""
+    rows = _datagrams(spark, sf_dir).join(units(spark, sf_dir).select("sequence", "stream_id"), "sequence")
+    rows = rows.withColumn("h", wire.rtp_header(F.col("data")))
+    rows = rows.select("sequence", wire.rewritten(F.col("data"), F.col("h"), 96, F.col("stream_id") + 7, F.col("sequence") * 90 % (1 << 32)).alias("again")).where("again is not null")
+    rows = rows.select("sequence", wire.rtp_header(F.col("again")).alias("h"))
+    return rows.select("sequence", "h.marker", "h.seq", "h.rtp_ts", "h.ssrc", "h.payload_bytes")
+
+
+@query(f"""WITH {{U}}, a AS (SELECT *, count(*) OVER w AS packets, sum(greatest(bytes, 0)) OVER w AS octets FROM u WINDOW w AS (PARTITION BY stream_id ORDER BY pts, sequence ROWS UNBOUNDED PRECEDING))
+SELECT sequence, printf('80C80006%08X%08X%08X%08X%08X%08X', stream_id, pts // 1000000 + 2208988800, ((pts % 1000000) << 32) // 1000000, ((pts - {ORIGIN}) * 9 // 100) % 4294967296, packets, (octets % 4294967296)::BIGINT) AS report FROM a""")
+def sender_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report at every record: its stream's running packet and byte counts beside both clocks."""
+    w = timestamps._upto("pts", "sequence")
+    rows = units(spark, sf_dir).select("sequence", "stream_id", "pts", F.count("*").over(w).alias("packets"), F.sum(F.greatest("bytes", F.lit(0))).over(w).alias("octets"))
+    fraction = F.expr("shiftleft(pts % 1000000, 32) div 1000000")
+    return rows.select("sequence", F.hex(wire.sender_report(F.col("stream_id"), F.expr("pts div 1000000 + 2208988800"), fraction, F.expr(f"((pts - {ORIGIN}) * 9) div 100"), F.col("packets"), F.col("octets"))).alias("report"))
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 > 0 THEN concat_ws(chr(13) || chr(10), 'v=0', 'o=- ' || (s_nationkey + 1) || ' 3 IN IP4 10.0.0.' || s_suppkey, 's=' || s_name, 'c=IN IP4 10.0.0.' || s_suppkey, 't=0 0', 'm=video ' || (6000 + 2 * s_suppkey) || ' RTP/AVP 33',
+  'a=rtcp:' || (6001 + 2 * s_suppkey) || ' IN IP4 10.0.0.' || s_suppkey, 'a=rtpmap:33 MP2T/90000', 'a=ssrc:' || s_suppkey || ' cname:' || s_name) || chr(13) || chr(10) END AS text FROM supplier""")
+def transport_sdp_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session descriptions of transport streams; an odd port gives none."""
+    k = F.col("s_suppkey")
+    port = 6000 + 2 * k + (k % 5 == 0).cast("int")
+    text = wire.transport_session_description(F.lit("-"), F.col("s_nationkey") + 1, F.lit(3), F.col("s_name"), F.concat(F.lit("10.0.0."), k.cast("string")), port, k, F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), text.alias("text"))
+
+
 # --- folds --------------------------------------------------------------------------------------------------------------
 
 
