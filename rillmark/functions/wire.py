@@ -1,6 +1,6 @@
 """Fields of datagrams and transport packets, checksums, parameter strings and session descriptions.
 
-What can be said with built-in expressions is; only the checksum and the scan for units need Arrow-batched functions.
+What can be said with built-in expressions is; only the checksum, the scan for units and the walk over control packets need Arrow-batched functions.
 """
 
 from __future__ import annotations
@@ -159,27 +159,55 @@ def redacted_url(url: Column) -> Column:
     return F.regexp_replace(url, r"(://)[^/@]*@", "$1***@")
 
 
-def rtcp_packets(data: Column) -> Column:
-    """The packets of a compound control datagram: at, type, count, bytes, ssrc and, of sender reports (type 200), ntp_sec, ntp_frac and rtp_ts. Null if it isn't made of whole packets of version 2 or doesn't begin with a report."""
-    text, size = F.hex(data), F.octet_length(data)
-    number = lambda at, n: F.conv(F.substring(text, 2 * at + 1, F.lit(2 * n)), 16, 10).cast("long")
-    empty = F.array().cast("array<struct<at:int,type:long,count:long,bytes:long,ssrc:long,ntp_sec:long,ntp_frac:long,rtp_ts:long>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("good"), empty.alias("out"))
-
-    def one(state: Column, _: Column) -> Column:
-        at = state["at"]
-        head, kind = number(at, 1), number(at + 1, 1)
-        length = (number(at + 2, 2) + 1) * 4
-        good = (at + 8 <= size) & (F.shiftright(head, 6) == 2) & (at + length <= size) & ((kind != 200) | (length >= 28))
-        report = lambda k: F.when(kind == 200, number(at + k, 4))
-        packet = F.struct(at.alias("at"), kind.alias("type"), head.bitwiseAND(F.lit(31)).alias("count"), length.alias("bytes"), number(at + 4, 4).alias("ssrc"), report(8).alias("ntp_sec"), report(12).alias("ntp_frac"), report(16).alias("rtp_ts"))
-        found = F.struct((at + length).cast("int").alias("at"), F.lit(True).alias("good"), F.concat(state["out"], F.array(packet)).alias("out"))
-        bad = F.struct(at.alias("at"), F.lit(False).alias("good"), state["out"].alias("out"))
-        return F.when(~state["good"] | (at >= size), state).when(good, found).otherwise(bad)
-
-    done = F.aggregate(F.sequence(F.lit(1), F.expr("1") + F.floor(size / 8).cast("int")), start, one)
-    reports = F.element_at(F.transform(done["out"], lambda x: x["type"]), 1).isin(200, 201)
-    return F.when(done["good"] & (F.size(done["out"]) > 0), F.when(reports, done["out"]))
+def _numbers(flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The big-endian numbers of n bytes at these places."""
+    out = np.zeros(len(at), dtype=np.int64)
+    for i in range(n):
+        out = (out << 8) | flat[at + i]
+    return out
+
+
+_RTCP = {"at": T.IntegerType(), "type": T.LongType(), "count": T.LongType(), "bytes": T.LongType(), "ssrc": T.LongType(), "ntp_sec": T.LongType(), "ntp_frac": T.LongType(), "rtp_ts": T.LongType()}
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in _RTCP.items()])))
+def rtcp_packets(data: pa.Array) -> pa.Array:
+    """The packets of a compound control datagram: at, type, count, bytes, ssrc and, of sender reports (type 200), ntp_sec, ntp_frac and rtp_ts. Null if it isn't made of whole packets of version 2 or doesn't begin with a report.
+
+    The first packets of all datagrams of a batch are read at once, then the second ones, and so on.
+    """
+    flat, ends = _flat(data)
+    starts, sizes = ends[:-1], np.diff(ends)
+    at, good, begins = np.zeros(len(sizes), dtype=np.int64), sizes > 0, np.zeros(len(sizes), dtype=bool)
+    found = [np.zeros((2, 0), dtype=np.int64)]
+    live = np.flatnonzero(good)
+    while len(live):
+        fits = sizes[live] - at[live] >= 8
+        good[live[~fits]] = False
+        live = live[fits]
+        here = starts[live] + at[live]
+        kind, length = flat[here + 1], (_numbers(flat, here + 2, 2) + 1) * 4
+        whole = (flat[here] >> 6 == 2) & (at[live] + length <= sizes[live]) & ((kind != 200) | (length >= 28))
+        good[live[~whole]] = False
+        if len(found) == 1:
+            begins[live] = (kind == 200) | (kind == 201)
+        live, length = live[whole], length[whole]
+        found.append(np.stack([live, at[live]]))
+        at[live] += length
+        live = live[at[live] < sizes[live]]
+    row, place = np.concatenate(found, axis=1)
+    kept = good & begins
+    row, place = row[kept[row]], place[kept[row]]
+    order = np.argsort(row, kind="stable")
+    row, place = row[order], place[order]
+    here = starts[row] + place
+    report = flat[here + 1] == 200
+    of_report = [np.zeros(len(here), dtype=np.int64) for _ in range(3)]
+    for values, k in zip(of_report, (8, 12, 16), strict=True):
+        values[report] = _numbers(flat, here[report] + k, 4)
+    columns = [pa.array(place.astype(np.int32)), *[pa.array(x.astype(np.int64)) for x in (flat[here + 1], flat[here] & 31, (_numbers(flat, here + 2, 2) + 1) * 4, _numbers(flat, here + 4, 4))], *[pa.array(x, mask=~report) for x in of_report]]
+    lists = np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays(columns, names=list(_RTCP)), mask=pa.array(~kept))
 
 
 def ntp_nanoseconds(seconds: Column, fraction: Column) -> Column:

@@ -71,6 +71,35 @@ def test_frames_of_a_packet(spark):
     assert [r.d for r in ends] == [None, None, None, None, None, 5760]
 
 
+def test_control_packets_as_a_loop(spark):
+    """As a loop over each datagram reads them, also many packets of four bytes, and without a fold that is interpreted for each row."""
+
+    def loop(data):
+        at, out, word = 0, [], lambda k: int.from_bytes(data[k : k + 4], "big")
+        while data and at < len(data):
+            if len(data) - at < 8:
+                return None
+            size = (int.from_bytes(data[at + 2 : at + 4], "big") + 1) * 4
+            kind = data[at + 1]
+            if data[at] >> 6 != 2 or at + size > len(data) or (kind == 200 and size < 28):
+                return None
+            out.append((at, kind, data[at] & 31, size, word(at + 4), *((word(at + 8), word(at + 12), word(at + 16)) if kind == 200 else (None,) * 3)))
+            at += size
+        return out if out and out[0][1] in (200, 201) else None
+
+    report, short = b"\x80\xc8\0\6" + bytes(range(200, 224)), b"\x80\xcb\0\0"
+    rng, datagrams = random.Random(6), [None, b"", b"\x80", report + short * 10, report + short * 10 + b"\x81\xcb\0\1abcd", report * 300]
+    for _ in range(400):
+        made = b""
+        for kind in [rng.choice((200, 200, 200, 201, 202)), *rng.choices((200, 201, 202, 203), k=rng.randint(0, 4))]:
+            words = rng.choice((6, 6, 6, 12, 5)) if kind == 200 else rng.choice((0, 1, 2, 7))
+            made += bytes([0x40 if rng.random() < 0.02 else 0x80 + rng.randint(0, 31), kind]) + words.to_bytes(2, "big") + rng.randbytes(4 * words)
+        datagrams.append(made[: rng.randint(0, len(made))] if rng.random() < 0.1 else made)
+    found = spark.createDataFrame(list(enumerate(datagrams)), "i int, d binary").repartition(3).select("i", wire.rtcp_packets(F.col("d")).alias("p"))
+    assert {r.i: r.p if r.p is None else [tuple(x) for x in r.p] for r in found.collect()} == {i: loop(d) for i, d in enumerate(datagrams)}
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_byte_fields(spark):
     ticks = [0, 1, (1 << 33) - 1, 1 << 33, -1, None, 1 << 30, 0x1_2345_6789]
     df = spark.createDataFrame([(t,) for t in ticks], "t long").withColumn("f", wire.timestamp_field(3, F.col("t")))
