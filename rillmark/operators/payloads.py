@@ -1,13 +1,17 @@
 """Media units and the packets that carry them: access units put together from packets, frames read out of one packet.
 
-What a packet says is an expression; only units that span packets are grouped, and such a group is one access unit.
+What a packet says is an expression, its frames are read over a whole batch; only units that span packets are grouped, and such a group is one access unit.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rillmark.functions import wire
 from rillmark.functions.wire import unsigned
 
 #: Kinds of aggregates and fragments, bytes of a unit's header, kinds of random-access slices.
@@ -82,22 +86,41 @@ def access_units(packets: DataFrame, codec: str = "h264") -> DataFrame:
 
 
 def aac_frames(payload: Column, duration: int) -> Column:
-    """The frames of a packet of several (sizes in 13 bits, index steps in 3): ts_offset in ticks and data; null if the sizes don't make up the payload. A frame spread over packets is none of these."""
-    bits = unsigned(payload, 0, 2)
-    n = F.shiftright(bits, 4).cast("int")
-    size = lambda i: F.shiftright(unsigned(payload, 2 + 2 * i, 2), 3).cast("int")
-    step = lambda i: F.when(i == 0, F.lit(0)).otherwise(unsigned(payload, 2 + 2 * i, 2).bitwiseAND(F.lit(7)) + 1).cast("long")
-    empty = F.array().cast("array<struct<ts_offset:long,data:binary>>")
-    start = F.struct((2 + 2 * n).alias("at"), F.lit(0).cast("long").alias("place"), empty.alias("out"))
-
-    def one(state: Column, i: Column) -> Column:
-        place = state["place"] + step(i)
-        frame = F.struct((place * duration).alias("ts_offset"), F.substring(payload, state["at"] + 1, size(i)).alias("data"))
-        return F.struct((state["at"] + size(i)).alias("at"), place.alias("place"), F.concat(state["out"], F.array(frame)).alias("out"))
-
-    fits = (bits > 0) & (bits % 16 == 0) & (F.octet_length(payload) >= 2 + 2 * n)
-    done = F.when(fits, F.aggregate(F.sequence(F.lit(0), n - 1), start, one))
-    return F.when(done["at"] == F.octet_length(payload), F.when(F.forall(done["out"], lambda x: F.octet_length(x["data"]) > 0), done["out"]))
+    """The frames of a packet of several (sizes in 13 bits, index steps in 3): ts_offset in ticks and data; null if the sizes don't make up the payload. A frame spread over packets is none of these.
+
+    The headers of all packets of a batch are read at once. A packet's frames are its last bytes, one after another.
+    """
+    frame = T.StructType([T.StructField("ts_offset", T.LongType()), T.StructField("data", T.BinaryType())])
+
+    @F.arrow_udf(T.ArrayType(frame))
+    def frames(data: pa.Array) -> pa.Array:
+        flat, ends = wire._flat(data)
+        starts, lengths = ends[:-1], np.diff(ends)
+        bits = np.zeros(len(lengths), dtype=np.int64)
+        led = np.flatnonzero(lengths >= 4)
+        bits[led] = wire._numbers(flat, starts[led], 2)
+        good = (bits > 0) & (bits % 16 == 0) & (lengths >= 2 + bits // 8)
+        count = np.where(good, bits // 16, 0)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        row = np.repeat(np.arange(len(count)), count)
+        nth = np.arange(upto[-1]) - upto[row]
+        header = wire._numbers(flat, starts[row] + 2 + 2 * nth, 2)
+        size, step = header >> 3, np.where(nth == 0, 0, (header & 7) + 1)
+        sizes, steps = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(step)])
+        good &= 2 + 2 * count + sizes[upto[1:]] - sizes[upto[:-1]] == lengths
+        good[row[size == 0]] = False
+        kept = good[row]
+        place = (steps[1:] - steps[upto[row]])[kept] * duration
+        size, row = size[kept], row[kept]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        lists = np.searchsorted(row, np.arange(len(count) + 1))
+        begin, own = starts + 2 + 2 * count, offsets[lists[1:]] - offsets[lists[:-1]]
+        at = np.repeat(begin - offsets[lists[:-1]], own) + np.arange(offsets[-1])
+        out = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat[at])])
+        values = pa.StructArray.from_arrays([pa.array(place, pa.int64()), out], names=frame.names)
+        return pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), values, mask=pa.array(~good))
+
+    return frames(payload)
 
 
 def opus_duration(payload: Column) -> Column:

@@ -71,6 +71,31 @@ def test_frames_of_a_packet(spark):
     assert [r.d for r in ends] == [None, None, None, None, None, 5760]
 
 
+def test_frames_of_random_packets(spark):
+    """As a loop over each packet reads them, and without a fold that is interpreted for each row."""
+
+    def loop(data):
+        if data is None or len(data) < 4 or (bits := int.from_bytes(data[:2], "big")) % 16 or not bits:
+            return None
+        headers = [int.from_bytes(data[2 + 2 * i : 4 + 2 * i], "big") for i in range(bits // 16)]
+        at, place, out = 2 + 2 * len(headers), 0, []
+        for i, h in enumerate(headers):
+            place += (h & 7) + 1 if i else 0
+            out.append((place * 960, data[at : at + (h >> 3)]))
+            at += h >> 3
+        return out if at == len(data) and all(x for _, x in out) else None
+
+    rng, packets = random.Random(5), [None, b"", b"\x00", b"\x00\x10"]
+    for _ in range(400):
+        sizes = [rng.choice((0, *range(1, 20))) for _ in range(rng.randint(0, 5))]
+        packet = (16 * len(sizes) + (rng.random() < 0.05)).to_bytes(2, "big") + b"".join((8 * n + rng.randint(0, 7)).to_bytes(2, "big") for n in sizes) + rng.randbytes(sum(sizes))
+        packets.append(packet[: rng.randint(0, len(packet))] if rng.random() < 0.1 else packet)
+    packets.append((16 * 3000).to_bytes(2, "big") + b"\x00\x08" * 3000 + bytes(3000))
+    found = spark.createDataFrame(list(enumerate(packets)), "i int, p binary").repartition(3).select("i", payloads.aac_frames(F.col("p"), 960).alias("f"))
+    assert {r.i: r.f if r.f is None else [(x.ts_offset, bytes(x.data)) for x in r.f] for r in found.collect()} == {i: loop(p) for i, p in enumerate(packets)}
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_control_packets_as_a_loop(spark):
     """As a loop over each datagram reads them, also many packets of four bytes, and without a fold that is interpreted for each row."""
 
