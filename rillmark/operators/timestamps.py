@@ -118,12 +118,17 @@ def trim_leading(frames: DataFrame, skip: int) -> DataFrame:
 
 
 def rechunk(frames: DataFrame, size: int) -> DataFrame:
-    """Cuts each stream's samples into full frames of size: stream_id, frame, first_sequence, last_sequence."""
-    rows = frames.withColumn("_end", F.sum("samples").over(_upto("sequence"))).withColumn("_begin", F.col("_end") - F.col("samples"))
-    rows = rows.where("samples > 0").select("*", F.explode(F.sequence(F.expr(f"_begin div {size}"), F.expr(f"(_end - 1) div {size}"))).alias("frame"))
-    total = F.max("_end").over(Window.partitionBy("stream_id"))
-    rows = rows.withColumn("_total", total).where((F.col("frame") + 1) * size <= F.col("_total"))
-    return rows.groupBy("stream_id", "frame").agg(F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"))
+    """Cuts each stream's samples into full frames of size: stream_id, frame, first_sequence, last_sequence. samples is a count; rows without samples are in no frame.
+
+    A row lists the frames whose last sample it holds. At most the first of them began in an earlier row: the last one that began a frame it didn't end.
+    """
+    rows = frames.where("samples > 0").select("stream_id", "sequence", "samples").withColumn("_end", F.sum("samples").over(_upto("sequence"))).withColumn("_begin", F.col("_end") - F.col("samples"))
+    opens = F.expr(f"_end % {size} <> 0 and _end - _end % {size} >= _begin")
+    rows = rows.withColumn("_opened", F.last(F.when(opens, F.col("sequence")), True).over(_by("sequence").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_low", F.expr(f"_begin div {size}")).withColumn("_high", F.expr(f"_end div {size} - 1")).where("_low <= _high")
+    rows = rows.select("*", F.explode(F.sequence("_low", "_high")).alias("frame"))
+    first = F.when(F.col("frame") * size >= F.col("_begin"), F.col("sequence")).otherwise(F.col("_opened"))
+    return rows.select("stream_id", "frame", first.alias("first_sequence"), F.col("sequence").alias("last_sequence"))
 
 
 def coverage(units: DataFrame, max_gap: int) -> DataFrame:

@@ -97,6 +97,22 @@ def test_trim_and_rechunk(spark, streams):
     assert {(r.stream_id, r.frame): (r.first_sequence, r.last_sequence) for r in timestamps.rechunk(df, 32).collect()} == full
 
 
+def test_rechunk_lists_frames_where_they_end(spark):
+    """Frames over many rows, rows over many frames, rows without samples; nothing but the sort by stream holds rows."""
+    rng, rows, full = random.Random(11), [], {}
+    for stream in range(6):
+        line = []
+        for seq in range(0, 240, 2):
+            n = rng.choice((None, 0, 1, 2, 3, 9, 10, 20, 47))
+            rows.append((stream, seq, n))
+            line += [seq] * (n or 0)
+        full |= {(stream, k): (line[10 * k], line[10 * k + 9]) for k in range(len(line) // 10)}
+    rng.shuffle(rows)
+    out = timestamps.rechunk(spark.createDataFrame(rows, "stream_id long, sequence long, samples long"), 10)
+    assert sorted((r.stream_id, r.frame, r.first_sequence, r.last_sequence) for r in out.collect()) == sorted((*k, *v) for k, v in full.items())
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_reorder(spark):
     rows = [(1, k, 10 * k, 7, seq % 65536, 96) for k, seq in enumerate([65534, 65535, 1, 0, 0, 5, 6, 7, 8, 2])]
     df = spark.createDataFrame(rows, "stream_id long, arrival long, received long, ssrc long, seq16 int, payload_type int")
