@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm._shared import Scratch, apart, components, shuffle_partitions, stars, written
+from rillmark.llm._shared import Scratch, apart, components, stars, written
 from rillmark.llm._tokens import SPACES, Words, buffers, pieces, shingles
 
 ROWS, BANDS = 4, 32
@@ -305,7 +305,8 @@ def _families(heads: DataFrame, kept: Scratch, percent: int) -> DataFrame:
     signatures = heads.select("node", "signature")
     banded = heads.select("node", "size", F.posexplode("bands").alias("band", "key"))
     order = ["band", "key", "_tie"]
-    dealt = banded.withColumn("_tie", F.xxhash64("band", "node")).repartitionByRange(2 * shuffle_partitions(heads.sparkSession), *order).sortWithinPartitions(*order)
+    # No number of ranges is given, so that adaptive execution writes as few files as their bytes need.
+    dealt = banded.withColumn("_tie", F.xxhash64("band", "node")).repartitionByRange(*order).sortWithinPartitions(*order)
     shared = kept.keep(dealt.select("band", "key", "node", "size").mapInArrow(_bucket_mates(percent), "band int, key long, node long, size long, mates array<long>"))
     near = shared.select("node", F.explode("mates").alias("mate"))
     pairs = _estimated(near.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct(), signatures)

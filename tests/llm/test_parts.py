@@ -357,6 +357,36 @@ def edited(rng, k, base, edits):
     return k, " ".join(words)
 
 
+def test_near_duplicates_write_few_files(spark, monkeypatch):
+    """Each local file that is written starts child processes, so their number follows the bytes and not the number of shuffle partitions."""
+    from pathlib import Path
+
+    from rillmark.llm import minhash
+
+    rng, texts = random.Random(31), []
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(80)]
+        texts += [" ".join(words), " ".join([*words[:-1], "x"])]
+    files, keep = {}, _shared.Scratch.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        path = self.paths[id(out)][1]
+        files[path] = len(list(Path(path.removeprefix("file:")).glob("part-*")))
+        return out
+
+    monkeypatch.setattr(_shared.Scratch, "keep", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == {i: i - i % 2 for i in range(len(texts))}
+    assert max(files.values()) <= 4, files
+
+
 def test_near_copies_in_a_large_family(spark, monkeypatch):
     """A family whose members are often too far from each other is joined through others, in one block or in many; all is held against brute force."""
     from rillmark.llm import minhash
